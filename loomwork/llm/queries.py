@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, langid, pieces, sharding, simhash
+from . import crf, decontam, langid, pieces, rules, sharding, simhash
 from .common import split_bucket, table
 
 
@@ -38,7 +38,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (split_bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_crf, op2_simhash_near_dedup, op6_sharding, op7_sentencepiece, op8_language_id)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).drop("posterior")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_crf, op2_simhash_near_dedup, op6_sharding, op7_sentencepiece, op8_language_id, op9_decontamination, op10_quality_rules)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_decontamination": decontam.ORACLE_SQL}
