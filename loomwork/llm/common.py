@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters outside space, tab, line feed, vertical tab, form feed, carriage return.
@@ -64,3 +65,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as compressed Parquet in the same shared folder: for tables that hold texts."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Words of 64 bits in the filter below: 4 MB of bits, whatever the number of keys.
+FILTER_WORDS = 1 << 16
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` whose bigint ``key`` may be among ``keys[name]``: all that are, and a few that are not.
+
+    The keys become a bit table of fixed size, the only thing that is broadcast, so the bound holds for any input; with
+    very many keys it lets more through, and callers join on the key anyway.
+    """
+    word, bit = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(FILTER_WORDS)), lambda c: F.pmod(F.xxhash64(c, F.lit(2)), F.lit(64)).cast("int")
+    bits = keys.groupBy(word(F.col(name)).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col(name)))).alias("_bits"))
+    there = F.call_function("shiftright", F.col("_bits"), bit(key)).bitwiseAND(F.lit(1).cast("long")) == 1
+    return df.join(F.broadcast(bits), word(key) == F.col("_word")).where(there).drop("_word", "_bits")

@@ -106,13 +106,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 #: Brute force in DuckDB: every run of four tokens (any window within the tolerance holds one, by pigeonhole) of the
 #: documents meets those of the items, and each alignment is compared token by token.
 ORACLE_SQL = r"""
-with toks as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') w from documents),
-its as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') w from benchmark),
+with toks as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from documents),
+its as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from benchmark),
 dg as (select doc_id, i, array_to_string(w[i:i+3], ' ') g from toks, unnest(range(1, greatest(len(w) - 2, 1))) u(i)),
 ig as (select item_id, i, array_to_string(w[i:i+3], ' ') g from its, unnest(range(1, greatest(len(w) - 2, 1))) u(i) where len(w) >= 4),
 al as (select distinct doc_id, item_id, dg.i - ig.i d from dg join ig using (g)),
-cmp as (select doc_id, item_id, its.w iw, least(len(its.w), 13) win, list_transform(range(1, len(its.w) + 1), x -> case when x + d >= 1 and toks.w[x + d] = its.w[x] then 1 else 0 end) eq from al join toks using (doc_id) join its using (item_id)),
-best as (select doc_id, item_id, max(list_max(list_transform(range(1, len(iw) - win + 2), s -> list_sum(eq[s:s + win - 1])))) overlap, max(win) win, max(len(iw)) n from cmp group by all),
+cmp as (select doc_id, item_id, its.w iw, least(len(its.w), 13) win, list_transform(range(1, len(its.w) + 1), lambda x: case when x + d >= 1 and toks.w[x + d] = its.w[x] then 1 else 0 end) eq from al join toks using (doc_id) join its using (item_id)),
+best as (select doc_id, item_id, max(list_max(list_transform(range(1, len(iw) - win + 2), lambda s: list_sum(eq[s:s + win - 1])))) overlap, max(win) win, max(len(iw)) n from cmp group by all),
 hit as (select doc_id, count(*) n from best where overlap >= win - case when n >= 13 then 2 when n > 8 then 1 else 0 end group by 1)
 select documents.doc_id, hit.n is not null as contaminated, coalesce(hit.n, 0) as n_items from documents left join hit using (doc_id)
 """
