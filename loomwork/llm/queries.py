@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, decontam, langid, linededup, pieces, rules, sharding, simhash
+from . import crf, decontam, langid, licenses, linededup, pieces, rules, sharding, simhash, wrappers
 from .common import split_bucket, table
 
 
@@ -27,6 +27,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_kept", F.char_length("text").alias("n_chars_kept"), F.xxhash64("text").alias("text_hash"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", F.col("source"), F.col("doc_id").cast("string"))
+    return licenses.scan(table(spark, sf_dir, "documents"), path=path).drop("path")
+
+
+def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -51,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).drop("posterior")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_crf, op2_simhash_near_dedup, op3_line_dedup, op6_sharding, op7_sentencepiece, op8_language_id, op9_decontamination, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_crf, op2_simhash_near_dedup, op3_line_dedup, op4_license_scan, op5_html_wrappers, op6_sharding, op7_sentencepiece, op8_language_id, op9_decontamination, op10_quality_rules)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {"op9_decontamination": decontam.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op4_license_scan": licenses.ORACLE_SQL, "op9_decontamination": decontam.ORACLE_SQL}
