@@ -71,7 +71,8 @@ def stash(df: DataFrame) -> DataFrame:
     """Like ``cut``, but as compressed Parquet in the same shared folder: for tables that hold texts."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # what lies before is not read again: lets Spark's cleaner drop its shuffle files
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -79,13 +80,35 @@ def stash(df: DataFrame) -> DataFrame:
 FILTER_WORDS = 1 << 16
 
 
+def filter_bits(keys: DataFrame, name: str):
+    """A bit table of the bigint keys, and the expressions for a key's word and bit in it."""
+    word = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(FILTER_WORDS))
+    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(2)), F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col(name)))
+    return keys.groupBy(word(F.col(name)).alias("_word")).agg(F.bit_or(one).alias("_bits")), word, bit
+
+
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` whose bigint ``key`` may be among ``keys[name]``: all that are, and a few that are not.
 
     The keys become a bit table of fixed size, the only thing that is broadcast, so the bound holds for any input; with
     very many keys it lets more through, and callers join on the key anyway.
     """
-    word, bit = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(FILTER_WORDS)), lambda c: F.pmod(F.xxhash64(c, F.lit(2)), F.lit(64)).cast("int")
-    bits = keys.groupBy(word(F.col(name)).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col(name)))).alias("_bits"))
+    bits, word, bit = filter_bits(keys, name)
     there = F.call_function("shiftright", F.col("_bits"), bit(key)).bitwiseAND(F.lit(1).cast("long")) == 1
     return df.join(F.broadcast(bits), word(key) == F.col("_word")).where(there).drop("_word", "_bits")
+
+
+def without(df: DataFrame, id_col: str, drop: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` whose id is not in ``drop[name]`` (bigint, nulls allowed); the texts of most rows don't move.
+
+    A bit table of fixed size lets rows that are surely not in ``drop`` pass as they are; the rest are joined by id.
+    """
+    drop = cut(drop.select(F.col(name).cast("long").alias("_drop")).distinct())
+    hit = drop.where("_drop is not null")
+    bits, word, bit = filter_bits(hit, "_drop")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(0))
+    marked = df.join(F.broadcast(bits), word(key) == F.col("_word"), "left").withColumn("_maybe", F.coalesce(F.call_function("shiftright", F.col("_bits"), bit(key)).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False)) | F.col(id_col).isNull())
+    sure = marked.where(~F.col("_maybe")).select(*[F.col(c) for c in df.columns])
+    rest = marked.where("_maybe").select(*[F.col(c) for c in df.columns])
+    return sure.unionByName(rest.join(drop, rest[id_col].cast("long").eqNullSafe(drop["_drop"]), "left_anti"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 
 #: Fixed masks of eight tokens; a 0 is ignored.  Together they hit every window of 13 tokens with any two of them
 #: replaced, and every window of 9 to 12 with any one replaced (checked exhaustively in the tests).
 MASKS = ("11101101", "11100111", "10101111")
 SPAN = len(MASKS[0])
 WINDOW = 13
-#: Up to so many seed rows of the benchmark are broadcast (some 100 bytes each, its words once per row); more are joined by a shuffle.
+#: Up to so many seed rows of the benchmark (40 bytes each) and its items are broadcast; beyond, positions are joined by a shuffle.
 BROADCAST_SEEDS = 100_000
 
 
@@ -42,7 +42,8 @@ def _seeds(df: DataFrame, keep: list[str], short: list[int]) -> DataFrame:
     out = None
     for kinds, span in parts:
         count = (n - span + 1) * len(kinds)
-        rows = df.where(n >= span).select(*keep, "words", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
+        numbers = F.when(n >= span, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))  # a filter would cut the words a second time
+        rows = df.select(*keep, "words", F.explode(numbers).alias("k"))
         at = F.floor(k / len(kinds)).cast("int") if len(kinds) > 1 else k
         key = _seed(words, at, *kinds[-1][::2])
         for i, (kind, _, offsets) in enumerate(kinds[:-1]):
@@ -52,12 +53,18 @@ def _seeds(df: DataFrame, keep: list[str], short: list[int]) -> DataFrame:
     return out
 
 
-def _overlap(doc: Column, item: Column, at: Column, item_at: Column, span: Column) -> Column:
+def _near(words: Column, at: Column, span: Column) -> Column:
+    """The tokens from which a window that holds the seed at ``at`` can be read: ``lead`` tokens before it, and those after."""
+    lead = F.least(at, WINDOW - span)
+    return F.struct(lead.alias("lead"), F.slice(words, at - lead + 1, lead + WINDOW).alias("tokens"))
+
+
+def _overlap(near: Column, item: Column, item_at: Column, span: Column) -> Column:
     """Most equal tokens in a window of the item that holds the seed and lies on its alignment."""
     n = F.size(item)
     wide = F.least(n, F.lit(WINDOW))
     starts = F.sequence(F.greatest(F.lit(0), item_at + span - wide), F.least(item_at, n - wide))
-    same = lambda s: F.size(F.filter(F.sequence(F.lit(0), wide - 1), lambda x: F.coalesce(F.get(item, s + x) == F.get(doc, at - item_at + s + x), F.lit(False))))
+    same = lambda s: F.size(F.filter(F.sequence(F.lit(0), wide - 1), lambda x: F.coalesce(F.get(item, s + x) == F.get(near["tokens"], near["lead"] - item_at + s + x), F.lit(False))))
     return F.array_max(F.transform(starts, same))
 
 
@@ -77,15 +84,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for s in short:
         mine = items.where(F.size("words") == s)
         seeds = seeds.unionByName(mine.select("item_id", "words", F.lit(0).alias("at"), F.lit(s).alias("span"), _seed(F.col("words"), F.lit(0), len(MASKS) + s, list(range(s))).alias("key")))
-    seeds = cut(seeds.select("item_id", F.col("words").alias("item"), F.col("at").alias("item_at"), "key"))
+    seeds = cut(seeds.select("item_id", F.col("at").alias("item_at"), "key").distinct())
+    items = items.select("item_id", F.col("words").alias("item")).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.col(text_col)).alias("words"))
     found = _seeds(rows, ["doc_id"], short)
     if seeds.count() <= BROADCAST_SEEDS:
-        hits = found.join(F.broadcast(seeds), "key")
+        # a hit takes along the few tokens around it, not the document's; verification waits for the second join, since
+        # its lambdas in the first one's condition would break up the generated loop
+        hits = found.join(F.broadcast(seeds), "key").select("doc_id", "item_id", "item_at", "span", _near(F.col("words"), F.col("at"), F.col("span")).alias("near"))
+        hits = hits.join(F.broadcast(items), "item_id")
     else:  # only positions travel; the words of the two sides meet again at the alignments that a seed has hit
-        met = found.select("doc_id", "at", "span", "key").join(seeds.select("item_id", "item_at", "key"), "key").select("doc_id", "item_id", "at", "item_at", "span").distinct()
-        hits = met.join(rows.dropDuplicates(["doc_id", "words"]), "doc_id").join(items.withColumnRenamed("words", "item"), "item_id")
-    checked = hits.select("doc_id", "item_id", _overlap(F.col("words"), F.col("item"), F.col("at"), F.col("item_at"), F.col("span")).alias("overlap"), F.size("item").alias("n"))
+        met = found.select("doc_id", "at", "span", "key").join(seeds, "key").select("doc_id", "item_id", "at", "item_at", "span").distinct()
+        hits = met.join(rows.dropDuplicates(["doc_id", "words"]), met["doc_id"].eqNullSafe(rows["doc_id"])).select(met["doc_id"], "item_id", "item_at", "span", _near(F.col("words"), F.col("at"), F.col("span")).alias("near"))
+        hits = hits.join(items, "item_id")
+    checked = hits.select("doc_id", "item_id", _overlap(F.col("near"), F.col("item"), F.col("item_at"), F.col("span")).alias("overlap"), F.size("item").alias("n"))
     passed = checked.where(F.col("overlap") >= F.least("n", F.lit(WINDOW)) - allowed(F.col("n")))
     return passed.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"), F.least(F.max("n"), F.lit(WINDOW)).alias("window"))
 
@@ -99,8 +111,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark."""
-    found = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["_hit"]), "left_anti")
+    return without(docs, id_col, contaminated(docs, benchmark, id_col, text_col), "doc_id")
 
 
 #: Brute force in DuckDB: every run of four tokens (any window within the tolerance holds one, by pigeonhole) of the
