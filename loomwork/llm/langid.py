@@ -202,3 +202,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     out = rows.mapInArrow(run, "doc_id long, lettered boolean, lang_pred string, score double")
     return out.select("doc_id", F.when(F.col("lettered"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("lettered") & (F.col("lang_pred") != UNKNOWN), F.col("score")).otherwise(0.0).alias("score"))
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose language is told with a score of at least ``min_score``; no row moves."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or b"" for t in b.column(b.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()]
+            found = [predict(held.value, texts[a:z]) for a, z in blocks(texts)]
+            keep = [lang != UNKNOWN and s >= min_score for f in found for lang, s in zip(*f, strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, without
 
 BITS = 64
 #: A bucket of more fingerprints than this is dealt out again under a further family of masks.
@@ -178,5 +178,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id names their component: one document of each group (all rows of that id, if it repeats)."""
-    keep = simhash_components(docs, id_col, text_col, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
+    found = simhash_components(docs, id_col, text_col, shingle, radius)
+    return without(docs, id_col, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), "doc_id")
