@@ -45,7 +45,7 @@ class KMeansModel(Model, KMeansModelParams):
 
     def transform(self, df: DataFrame) -> DataFrame:
         centroids, v, measure = self.need()["centroids"], V.dense(df, self.features_col), self.distance_measure
-        if len(centroids) * len(centroids[0]) <= 2 * V.WIDE:
+        if len(centroids) * len(centroids[0]) <= 64:  # more terms than that outgrow what the compiler takes as one method
             return df.withColumn(self.prediction_col, F.when(v.isNotNull(), nearest_index(v, centroids, measure)))
         held = df.sparkSession.sparkContext.broadcast(np.array(centroids, float))
 
