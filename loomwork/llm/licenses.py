@@ -143,7 +143,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     mine = own.select(F.col("doc_id").alias("i"), F.col("path").alias("p"), F.col("row").alias("h"), "license", "similarity", "n_notices").distinct()
     out = light.join(mine, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")) & (F.col("row") == F.col("h")), "left").withColumn("dir", directory(F.col("path")))
     dirs = out.where("license is null and dir is not null").select("dir").distinct()
-    passed = inherited(dirs, licensed).select(F.col("dir").alias("d"), F.col("license").alias("above"))
+    passed = cut(inherited(dirs, licensed).select(F.col("dir").alias("d"), F.col("license").alias("above")))  # an exchange of its own, so that a crowded directory can be split
     out = out.join(passed, F.col("dir") == F.col("d"), "left")
     origin = F.when(F.col("license").isNotNull(), "notice").when(F.col("above").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", "path", F.coalesce("license", "above").alias("license"), "similarity", F.coalesce("n_notices", F.lit(0)).alias("n_notices"), origin.alias("origin"))
