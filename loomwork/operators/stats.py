@@ -130,14 +130,14 @@ class UnivariateFeatureSelector(Estimator, HasFeaturesCol, HasLabelCol, HasOutpu
 
     feature_type = Param("str", "categorical or continuous", None, in_array(("categorical", "continuous")))
     label_type = Param("str", "categorical or continuous", None, in_array(("categorical", "continuous")))
-    selection_mode = Param("str", "num_top_features, percentile, fpr, fdr or fwe", "num_top_features", in_array(("num_top_features", "percentile", "fpr", "fdr", "fwe")))
+    selection_mode = Param("str", "numTopFeatures, percentile, fpr, fdr or fwe", "numTopFeatures", in_array(("numTopFeatures", "percentile", "fpr", "fdr", "fwe")))
     selection_threshold = Param("float", "bound of the mode; 50, 0.1 or 0.05 if not set")
 
     def _chosen(self, p: list[float]) -> list[int]:
         mode = self.selection_mode
-        bound = self.selection_threshold if self.selection_threshold is not None else {"num_top_features": 50, "percentile": 0.1}.get(mode, 0.05)
+        bound = self.selection_threshold if self.selection_threshold is not None else {"numTopFeatures": 50, "percentile": 0.1}.get(mode, 0.05)
         order = sorted(range(len(p)), key=lambda k: (math.inf if math.isnan(p[k]) else p[k], k))
-        if mode == "num_top_features":
+        if mode == "numTopFeatures":
             return order[: int(bound)]
         if mode == "percentile":
             return order[: int(len(p) * bound)]
