@@ -6,6 +6,8 @@ import math
 from bisect import bisect_right
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from ..core import vectors as V
 from ..core.params import HasHandleInvalid, HasInputCol, HasInputCols, HasOutputCol, HasOutputCols, Param, gt, gt_eq, in_array
 from ..core.stage import Estimator, Model
+from .text import counted
 
 #: Up to so many categories a lookup is a literal map; beyond, it is a join with the model's table.
 LITERAL = 2000
@@ -196,31 +199,18 @@ class CountVectorizerModel(Model, _CountParams):
 
     def transform(self, df: DataFrame) -> DataFrame:
         words = self.need()["vocabulary"]
-        n, c = len(words), F.col(self.input_col)
-        least = F.lit(self.min_tf) if self.min_tf >= 1 else F.size(c) * F.lit(self.min_tf)
-        if n <= LITERAL:
-            table = F.create_map(*[F.lit(x) for k, w in enumerate(words) for x in (w, k)]) if words else None
-            at = F.array_sort(F.filter(F.transform(c, lambda w: F.element_at(table, w)), lambda i: i.isNotNull())) if words else F.array().cast("array<int>")
-            df = df.withColumn("__at", at)
-            kinds = F.array_distinct("__at")
-            # sorted places: a term's count is the distance between its first place and the next term's
-            begin = F.transform(kinds, lambda i: F.array_position(F.col("__at"), i))
-            df = df.withColumns({"__kinds": kinds, "__begin": F.concat(begin, F.array((F.size("__at") + 1).cast("long")))})
-            count = F.transform(F.col("__kinds"), lambda i, k: F.struct(i.alias("index"), (F.get(F.col("__begin"), k + 1) - F.get(F.col("__begin"), k)).cast("double").alias("value")))
-            kept = F.filter(count, lambda e: e["value"] >= least)
-            if self.binary:
-                kept = F.transform(kept, lambda e: F.struct(e["index"].alias("index"), F.lit(1.0).alias("value")))
-            return df.withColumn(self.output_col, F.when(c.isNotNull(), V.sparse(n, kept))).drop("__at", "__kinds", "__begin")
-        spark = df.sparkSession
-        table = spark.createDataFrame(list(zip(words, range(n), strict=True)), "term string, index int")
-        table = F.broadcast(table) if n <= BROADCAST else table
-        keyed = df.withColumn("__row", F.monotonically_increasing_id()).persist()
-        tokens = keyed.select("__row", F.size(c).alias("len"), F.explode(c).alias("term")).groupBy("__row", "len", "term").agg(F.count("*").cast("double").alias("value"))
-        kept = tokens.join(table, "term").where(F.col("value") >= (F.lit(self.min_tf) if self.min_tf >= 1 else F.col("len") * self.min_tf))
-        rows = kept.groupBy(F.col("__row").alias("__r")).agg(F.collect_list(F.struct("index", (F.lit(1.0) if self.binary else F.col("value")).alias("value"))).alias("__e"))
-        joined = keyed.join(rows, F.col("__row") == F.col("__r"), "left")
-        empty = F.array().cast("array<struct<index int, value double>>")
-        return joined.withColumn(self.output_col, F.when(c.isNotNull(), V.sparse(n, F.coalesce("__e", empty)))).drop("__row", "__r", "__e")
+        n, binary, min_tf, sc = max(1, len(words)), self.binary, self.min_tf, df.sparkSession.sparkContext
+        held = sc.broadcast(words)  # the model: at most vocabulary_size terms
+
+        @F.arrow_udf("struct<size int, indices array<int>, values array<double>>")
+        def counts(docs: pa.Array) -> pa.Array:
+            docs = docs.cast(pa.list_(pa.string()))
+            at = pc.index_in(docs.flatten(), value_set=pa.array(held.value, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+            least = np.full(len(docs), min_tf) if min_tf >= 1 else pc.list_value_length(docs).fill_null(0).to_numpy(zero_copy_only=False) * min_tf
+            return counted(docs, at.astype(np.int64), n, binary, least)
+
+        c = F.col(self.input_col)
+        return df.withColumn(self.output_col, F.when(c.isNotNull(), counts(c)))
 
 
 class CountVectorizer(Estimator, _CountParams):

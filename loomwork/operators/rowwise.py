@@ -76,16 +76,24 @@ class VectorAssembler(Transformer, HasInputCols, HasOutputCol, HasHandleInvalid)
         sizes = self.input_sizes or [None] * len(names)
         if len(sizes) != len(names):
             raise ValueError("one size per input column is wanted")
-        parts, valid = [], []
+        parts, valid, run = [], [], []
         for c, n in zip(names, sizes, strict=True):
+            if V.kind(df, c) == "number" and n in (None, 1):  # numbers side by side are one compiled array
+                x = F.col(c).cast("double")
+                run.append(F.coalesce(x, F.lit(math.nan)))
+                valid.append(x.isNotNull() & ~F.isnan(x))
+                continue
+            if run:
+                parts.append(F.array(*run))
+                run = []
             v = V.dense(df, c)
-            ok = F.col(c).isNotNull() & ~F.exists(v, lambda x: F.isnan(x) | x.isNull())
-            if n is not None:
-                ok = ok & (F.size(v) == n)
-            parts.append(F.when(F.col(c).isNotNull() & ((F.size(v) == n) if n is not None else F.lit(True)), F.transform(v, lambda x: F.coalesce(x, F.lit(math.nan)))).otherwise(F.array_repeat(F.lit(math.nan), n or 1)))
-            valid.append(F.coalesce(ok, F.lit(False)))
+            sized = (F.size(v) == n) if n is not None else F.lit(True)
+            parts.append(F.when(F.col(c).isNotNull() & sized, F.transform(v, lambda x: F.coalesce(x, F.lit(math.nan)))).otherwise(F.array_repeat(F.lit(math.nan), n or 1)))
+            valid.append(F.coalesce(F.col(c).isNotNull() & sized & ~F.exists(v, lambda x: F.isnan(x) | x.isNull()), F.lit(False)))
+        if run:
+            parts.append(F.array(*run))
         good = reduce(lambda a, b: a & b, valid)
-        out = F.concat(*parts)
+        out = F.concat(*parts) if len(parts) > 1 else parts[0]
         if self.handle_invalid == "skip":
             df = df.where(good)
         elif self.handle_invalid == "error":

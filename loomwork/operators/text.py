@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,25 +98,38 @@ class HashingTF(Transformer, HasInputCol, HasOutputCol, HasNumFeatures):
         if not isinstance(element, T.ArrayType):
             raise TypeError(f"column {self.input_col} holds no arrays")
         width = 4 if isinstance(element.elementType, T.IntegerType | T.ShortType | T.ByteType) else 8
-        kinds = bool if isinstance(element.elementType, T.BooleanType) else float if isinstance(element.elementType, T.DoubleType | T.FloatType) else int if isinstance(element.elementType, T.IntegralType) else str
-
-        @F.pandas_udf(SPARSE)
-        def hashed(docs: pd.Series) -> pd.DataFrame:
-            terms = [None if d is None else [None if t is None or t is pd.NA else kinds(t) for t in d] for d in docs]
-            kinds_ = list({t for d in terms if d is not None for t in d})  # each distinct term of the batch is hashed once
-            index = dict(zip(kinds_, np.mod(term_hashes(kinds_, width), n).tolist(), strict=True))
-            rows = []
-            for d in terms:
-                if d is None:
-                    rows.append((None, None, None))
-                    continue
-                at, count = np.unique([index[t] for t in d], return_counts=True) if len(d) else ([], [])
-                rows.append((n, [int(x) for x in at], [1.0 if binary else float(c) for c in count]))
-            return pd.DataFrame(rows, columns=["size", "indices", "values"])
+
+        @F.arrow_udf(SPARSE)
+        def hashed(docs: pa.Array) -> pa.Array:
+            docs = docs.cast(pa.list_(docs.type.value_type))
+            terms = docs.flatten().dictionary_encode()  # each distinct term of the batch is hashed once
+            held = term_hashes(terms.dictionary.to_pylist(), width) if len(terms) else np.zeros(0, np.int64)
+            places = np.append(np.mod(held, n), 0)  # the last for a null term
+            at = terms.indices.fill_null(len(held)).to_numpy(zero_copy_only=False)
+            return counted(docs, places[at], n, binary)
 
         return df.withColumn(self.output_col, F.when(F.col(self.input_col).isNotNull(), hashed(F.col(self.input_col))))
 
 
+def counted(docs: pa.Array, index: np.ndarray, size: int, binary: bool, least: np.ndarray | None = None) -> pa.Array:
+    """Sparse counts per row of the ``index`` of every element of the lists, end to end; negative ones are left out.
+
+    ``least`` are the counts below which an index of a row is dropped.
+    """
+    lengths = pc.list_value_length(docs).fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(docs)), lengths)
+    there = index >= 0
+    key, n = np.unique(row[there] * np.int64(size) + index[there], return_counts=True)
+    row = key // size
+    if least is not None:
+        kept = n >= least[row]
+        key, n, row = key[kept], n[kept], row[kept]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(docs)))]).astype(np.int32))
+    values = np.ones(len(key)) if binary else n.astype(float)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((key % size).astype(np.int32), values)]
+    return pa.StructArray.from_arrays([pa.array(np.full(len(docs), size, np.int32)), *lists], names=["size", "indices", "values"])
+
+
 class FeatureHasher(Transformer, HasInputCols, HasOutputCol, HasNumFeatures):
     """Columns hashed into one vector: numbers under their column's name, categories as 1 under ``column=value``; nulls are left out.
 

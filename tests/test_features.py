@@ -187,14 +187,11 @@ def test_count_vectorizer(spark):
     got = m.transform(df).first().output
     assert (got.size, got.indices, got["values"]) == (6, [0, 1, 2], [2.0, 1.0, 1.0])
     assert m.set(binary=True).transform(df).first().output["values"] == [1.0, 1.0, 1.0]
-    from loomwork.operators import indexers
-
-    old, indexers.LITERAL = indexers.LITERAL, 2
-    try:
-        joined = {tuple(r.input): (r.output.indices, r.output["values"]) for r in m.set(binary=False).transform(df).collect()}
-    finally:
-        indexers.LITERAL = old
-    assert joined[("a", "c", "b", "c")] == ([0, 1, 2], [2.0, 1.0, 1.0]) and joined[("e", "f")] == ([3, 5], [1.0, 1.0])
+    got = {tuple(r.input): (r.output.indices, r.output["values"]) for r in m.set(binary=False).transform(df).collect()}
+    assert got[("a", "c", "b", "c")] == ([0, 1, 2], [2.0, 1.0, 1.0]) and got[("e", "f")] == ([3, 5], [1.0, 1.0])
+    assert m.set(min_tf=2.0).transform(df).first().output.indices == [0]
+    odd = spark.createDataFrame([(None,), ([],), (["zz", None],)], "input array<string>")
+    assert [r.output and r.output.indices for r in m.transform(odd).collect()] == [None, [], []]
 
 
 @pytest.mark.parametrize(("strategy", "first", "third"), [("uniform", [0, 0, 0, 1, 1, 2, 2], [0, 1, 2, 2, 2, 2, 2]), ("quantile", [0, 0, 0, 1, 2, 2, 2], [0, 0, 1, 1, 1, 1, 1]), ("kmeans", [0, 0, 0, 1, 1, 2, 2], [0, 1, 2, 2, 2, 2, 2])])
