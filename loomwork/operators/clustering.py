@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,20 +26,20 @@ class KMeansModelParams(HasDistanceMeasure, HasFeaturesCol, HasPredictionCol):
     k = Param("int", "clusters", 2, gt(1))
 
 
-def nearest_index(v: Column, centroids: list[list[float]], measure: str) -> Column:
-    """Index of the nearest centroid, the lowest of several, as one compiled expression over the elements."""
+def distances(v: Column, centroids: list[list[float]], measure: str) -> Column:
+    """What orders the centroids by their distance, as straight compiled sums; NaN is the greatest."""
     out = []
-    for k, c in enumerate(centroids):
+    for c in centroids:
         diff = [F.get(v, i) - F.lit(float(x)) for i, x in enumerate(c)]
         if measure == "manhattan":
-            d = sum((F.abs(x) for x in diff), F.lit(0.0))
+            d = reduce(operator.add, (F.abs(x) for x in diff))
         elif measure == "euclidean":
-            d = sum((x * x for x in diff), F.lit(0.0))
+            d = reduce(operator.add, (x * x for x in diff))
         else:
-            dot, size = sum((F.get(v, i) * F.lit(float(x)) for i, x in enumerate(c)), F.lit(0.0)), float(np.linalg.norm(c))
-            d = -dot / F.lit(size) if size else F.lit(0.0)
-        out.append(F.struct(F.when(F.isnan(d), F.lit(float("inf"))).otherwise(d).alias("d"), F.lit(k).alias("k")))
-    return F.array_min(F.array(*out))["k"]
+            size = float(np.linalg.norm(c))
+            d = -reduce(operator.add, (F.get(v, i) * F.lit(float(x) / size) for i, x in enumerate(c))) if size else F.lit(0.0)
+        out.append(d)
+    return F.array(*out)
 
 
 class KMeansModel(Model, KMeansModelParams):
@@ -46,7 +48,8 @@ class KMeansModel(Model, KMeansModelParams):
     def transform(self, df: DataFrame) -> DataFrame:
         centroids, v, measure = self.need()["centroids"], V.dense(df, self.features_col), self.distance_measure
         if len(centroids) * len(centroids[0]) <= 64:  # more terms than that outgrow what the compiler takes as one method
-            return df.withColumn(self.prediction_col, F.when(v.isNotNull(), nearest_index(v, centroids, measure)))
+            near = df.withColumn("__d", F.when(v.isNotNull(), distances(v, centroids, measure)))
+            return near.withColumn(self.prediction_col, (F.array_position("__d", F.array_min("__d")) - 1).cast("int")).drop("__d")
         held = df.sparkSession.sparkContext.broadcast(np.array(centroids, float))
 
         @F.pandas_udf("int")

@@ -38,15 +38,22 @@ class Swing(AlgoOperator, HasOutputCol, HasSeed):
         users = rows.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n").between(self.min_user_behavior, self.max_user_behavior))
         users = users.select("u", F.pow(F.lit(1.0) / (self.alpha1 + F.col("n")), F.lit(self.beta)).alias("w"))
         rows = rows.join(users, "u")
-        drawn = rows.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.xxhash64("u", F.lit(self.actual_seed())), "u"))).where(F.col("r") <= self.max_user_num_per_item)
-        kept = drawn.select("u", "i", "w")
-        # pairs of users that meet at an item; the items they share are counted by their meetings and by all their items
+        rows = rows.persist()
+        crowded = not rows.groupBy("i").count().where(F.col("count") > self.max_user_num_per_item).isEmpty()
+        kept = rows
+        if crowded:
+            ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.xxhash64("u", F.lit(self.actual_seed())), "u")))
+            kept = ranked.where(F.col("r") <= self.max_user_num_per_item).select("u", "i", "w")
+        # pairs of users that meet at an item
         a, b = kept.select(F.col("u").alias("a"), "i", F.col("w").alias("wa")), kept.select(F.col("u").alias("b"), "i", F.col("w").alias("wb"))
-        met = a.join(b, "i").where("a < b")
-        items = rows.groupBy("u").agg(F.collect_set("i").alias("items"))  # at most max_user_behavior
-        pairs = met.groupBy("a", "b").agg(F.collect_list("i").alias("at"), (F.first("wa") * F.first("wb")).alias("w"))
-        pairs = pairs.join(items.select(F.col("u").alias("a"), F.col("items").alias("ia")), "a").join(items.select(F.col("u").alias("b"), F.col("items").alias("ib")), "b")
-        pairs = pairs.select("at", "w", F.array_intersect("ia", "ib").alias("shared")).where(F.size("shared") > 1)
+        pairs = a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.collect_list("i").alias("at"), (F.first("wa") * F.first("wb")).alias("w"))
+        if crowded:  # two users may share items at which one of them was not drawn
+            items = rows.groupBy("u").agg(F.collect_set("i").alias("items"))  # at most max_user_behavior
+            pairs = pairs.join(items.select(F.col("u").alias("a"), F.col("items").alias("ia")), "a").join(items.select(F.col("u").alias("b"), F.col("items").alias("ib")), "b")
+            pairs = pairs.select("at", "w", F.array_intersect("ia", "ib").alias("shared"))
+        else:
+            pairs = pairs.select("at", "w", F.col("at").alias("shared"))
+        pairs = pairs.where(F.size("shared") > 1)
         score = F.col("w") / (self.alpha2 + F.size("shared"))
         return pairs.select(score.alias("s"), F.explode("at").alias("item"), "shared").select("s", "item", F.explode("shared").alias("other")).where("item <> other").groupBy("item", "other").agg(F.sum("s").alias("score"))
 

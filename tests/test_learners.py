@@ -132,6 +132,25 @@ def test_swing(spark):
     assert near(dict(got[12])[13], 0.09134833828228624) and near(dict(got[13])[12], 0.09134833828228624)
 
 
+def test_swing_crowded(spark):
+    pairs = [(u, i) for u in range(6) for i in range(u % 3, 6)]
+    df = spark.createDataFrame(pairs, "user long, item long")
+    made = O.Swing(min_user_behavior=1, alpha1=1, max_user_num_per_item=6)
+    want = {(r.item, r.other): r.score for r in made.scores(df).collect()}
+    items = {u: {i for v, i in pairs if v == u} for u in range(6)}
+    slow = {}
+    for u in range(6):
+        for v in range(u):
+            both = items[u] & items[v]
+            w = (1 / (1 + len(items[u]))) ** 0.3 * (1 / (1 + len(items[v]))) ** 0.3 / len(both)
+            for i in both:
+                for j in both - {i}:
+                    slow[i, j] = slow.get((i, j), 0) + w
+    assert want.keys() == slow.keys() and all(near(want[k], slow[k], 1e-12) for k in slow)
+    few = {(r.item, r.other): r.score for r in made.set(max_user_num_per_item=4).scores(df).collect()}
+    assert 0 < len(few) <= len(want) and all(few[k] <= want[k] + 1e-12 for k in few) and few != want
+
+
 def test_chi_square(spark):
     rows = [(0.0, 5.0, 1.0), (2.0, 6.0, 2.0), (1.0, 7.0, 2.0), (1.0, 5.0, 4.0), (0.0, 5.0, 1.0), (2.0, 6.0, 2.0), (1.0, 7.0, 2.0), (1.0, 5.0, 4.0), (2.0, 5.0, 1.0), (0.0, 5.0, 2.0), (0.0, 5.0, 2.0), (1.0, 9.0, 4.0), (1.0, 9.0, 3.0)]
     df = spark.createDataFrame([(a, [b, c]) for a, b, c in rows], "label double, features array<double>")
