@@ -30,6 +30,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomwork-checkpoint-"))
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; a longer text makes a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Let the session cut Arrow batches by bytes, unless it does so already: 10,000 rows of long texts would fill a worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "1") == "1":
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation of what lies before."""
     ensure_checkpoint_dir(df.sparkSession)

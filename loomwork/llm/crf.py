@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .langid import blocks, sample_by
 
 #: Byte classes that are counted in a line.
@@ -150,5 +151,5 @@ def score_quality(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_co
             score = np.concatenate([np.zeros(0), *(score_texts(held.value, texts[a:z]) for a, z in blocks(texts))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double").select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

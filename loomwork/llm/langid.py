@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 # Family of each ISO 639-1 code; a code that is not listed is a family of its own.
 FAMILIES = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "nb": "germanic", "is": "germanic",
@@ -119,16 +121,20 @@ def train(texts: list[bytes], langs: list[str], families: Mapping[str, str] = FA
     return Model(names, group, members, pairs, weights, bias)
 
 
-def blocks(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def ranges(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes, a longer text alone: what is worked on at once stays small."""
     begin = held = 0
-    for k, t in enumerate(texts):
-        if held and held + len(t) > most:
+    for k, n in enumerate(sizes):
+        if held and held + n > most:
             yield begin, k
             begin, held = k, 0
-        held += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+        held += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def blocks(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    return ranges([len(t) for t in texts], most)
 
 
 def predict(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
@@ -194,12 +200,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
             texts = [t or b"" for t in texts]
-            found = [predict(held.value, texts[a:z]) for a, z in blocks(texts)]
+            found = [predict(held.value, texts[a:z]) for a, z in blocks(texts, 1_000_000)]
             langs, score = [x for f in found for x in f[0]], np.concatenate([np.zeros(0), *(f[1] for f in found)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lettered"), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lettered", "lang_pred", "score"])
 
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     out = rows.mapInArrow(run, "doc_id long, lettered boolean, lang_pred string, score double")
     return out.select("doc_id", F.when(F.col("lettered"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("lettered") & (F.col("lang_pred") != UNKNOWN), F.col("score")).otherwise(0.0).alias("score"))
 
@@ -211,8 +217,8 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column(b.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()]
-            found = [predict(held.value, texts[a:z]) for a, z in blocks(texts)]
+            found = [predict(held.value, texts[a:z]) for a, z in blocks(texts, 1_000_000)]
             keep = [lang != UNKNOWN and s >= min_score for f in found for lang, s in zip(*f, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, docs.schema)
+    return bound_batches(docs).where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, docs.schema)

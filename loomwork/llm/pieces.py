@@ -8,10 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .langid import blocks
+from .common import bound_batches
+from .langid import ranges
 
 #: Where the public vocabulary lies here; a parameter of every operator below.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -257,20 +259,25 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop
     """
     model = read_model(docs.sparkSession, model_path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model.value)
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            keys = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            for a, z in blocks(texts, 1_000_000):
-                flat, count = encode_texts(v, texts[a:z], keys[a:z], dropout, seed)
-                text = b.column("text").slice(a, z - a)
-                offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                mask = pa.array(np.asarray(text.is_null())) if text.null_count else None
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=mask)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, z - a), text.cast(pa.string()), ids], names=["doc_id", "text", "ids"])
+    return _rows(docs, id_col, text_col).mapInArrow(lambda batches: _encoded(batches, vocabulary(model.value), dropout, seed, False), "doc_id long, text string, ids array<int>")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text string, ids array<int>")
+def _encoded(batches: Iterator[pa.RecordBatch], v: Vocabulary, dropout: float, seed: int, decoded: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of about 1 MB of text with their ids and, if wanted, what these decode to."""
+    for b in batches:
+        for a, z in ranges(pc.binary_length(b.column("text")).fill_null(0).to_pylist(), 1_000_000):
+            text, ids = b.column("text").slice(a, z - a), b.column("doc_id").slice(a, z - a)
+            flat, count = encode_texts(v, [t or "" for t in text.to_pylist()], ids.fill_null(0).to_numpy(zero_copy_only=False), dropout, seed)
+            at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            gone = np.asarray(text.is_null())
+            columns = [ids, text.cast(pa.string()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(np.int32)), mask=pa.array(gone) if gone.any() else None)]
+            if decoded:
+                columns.append(pa.array([None if gone[k] else decode_ids(v, flat[at[k] : at[k + 1]].tolist()) for k in range(z - a)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "ids", "decoded"][: len(columns)])
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
@@ -285,18 +292,10 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
             texts = [None if not ok else decode_ids(v, flat[at[k] : at[k + 1]].tolist()) for k, ok in enumerate(np.asarray(col.is_valid()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), col, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return bound_batches(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 1, model_path: str = MODEL_PATH) -> DataFrame:
-    """``doc_id, text, ids, decoded``: encode and decode in one pass over the rows."""
+    """``doc_id, text, ids, decoded``: encoded and decoded in the same workers, a megabyte of text at a time."""
     model = read_model(docs.sparkSession, model_path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model.value)
-        for b in batches:
-            flat, at = b.column("ids").values.to_numpy(zero_copy_only=False), b.column("ids").offsets.to_numpy(zero_copy_only=False)
-            texts = [None if not ok else decode_ids(v, flat[at[k] : at[k + 1]].tolist()) for k, ok in enumerate(np.asarray(b.column("ids").is_valid()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
-
-    return encode(docs, id_col, text_col, dropout, seed, model_path).mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
+    return _rows(docs, id_col, text_col).mapInArrow(lambda batches: _encoded(batches, vocabulary(model.value), dropout, seed, True), "doc_id long, text string, ids array<int>, decoded string")
