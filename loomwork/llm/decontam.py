@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +32,17 @@ def _seed(words: Column, at: Column, kind: int, offsets: list[int]) -> Column:
     return F.xxhash64(F.lit(kind), *[F.get(words, at + o) for o in offsets])
 
 
-def _seeds(df: DataFrame, keep: list[str], short: list[int]) -> DataFrame:
-    """A row per position and mask with the hash of the tokens that the mask keeps; ``short`` adds whole runs of those lengths.
+def _seeds(df: DataFrame, keep: list[str], short: list[int]) -> list[DataFrame]:
+    """A row per position and mask with the hash of the tokens that the mask keeps; one table more for whole runs of each length in ``short``.
 
     The positions come from a generator over (position, mask) numbers and the hash from one expression on the row's word
-    array, so the scan, the hashing and a broadcast join stay in one generated loop and no row is shuffled.
+    array, so the scan, the hashing and a broadcast join stay in one generated loop and no row is shuffled.  The tables
+    stay apart up to that join: a union before it would make a row with all words of each position.
     """
     words, n, k = F.col("words"), F.size("words"), F.col("k")
     spans = [(kind, SPAN, [o for o, c in enumerate(m) if c == "1"]) for kind, m in enumerate(MASKS)]
-    parts = [(spans, SPAN)] + [([(len(MASKS) + s, s, list(range(s)))], s) for s in short]
-    out = None
-    for kinds, span in parts:
+    out = []
+    for kinds, span in [(spans, SPAN)] + [([(len(MASKS) + s, s, list(range(s)))], s) for s in short]:
         count = (n - span + 1) * len(kinds)
         numbers = F.when(n >= span, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))  # a filter would cut the words a second time
         rows = df.select(*keep, "words", F.explode(numbers).alias("k"))
@@ -48,8 +50,7 @@ def _seeds(df: DataFrame, keep: list[str], short: list[int]) -> DataFrame:
         key = _seed(words, at, *kinds[-1][::2])
         for i, (kind, _, offsets) in enumerate(kinds[:-1]):
             key = F.when(k % len(kinds) == i, _seed(words, at, kind, offsets)).otherwise(key)
-        rows = rows.select(*keep, "words", at.alias("at"), F.lit(span).alias("span"), key.alias("key"))
-        out = rows if out is None else out.unionByName(rows)
+        out.append(rows.select(*keep, "words", at.alias("at"), F.lit(span).alias("span"), key.alias("key")))
     return out
 
 
@@ -80,7 +81,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     short = sorted(r[0] for r in items.where(F.size("words") <= SPAN).select(F.size("words")).distinct().collect())
-    seeds = _seeds(items.where(F.size("words") > SPAN), ["item_id"], []) if short else _seeds(items, ["item_id"], [])
+    seeds = _seeds(items.where(F.size("words") > SPAN), ["item_id"], [])[0]
     for s in short:
         mine = items.where(F.size("words") == s)
         seeds = seeds.unionByName(mine.select("item_id", "words", F.lit(0).alias("at"), F.lit(s).alias("span"), _seed(F.col("words"), F.lit(0), len(MASKS) + s, list(range(s))).alias("key")))
@@ -91,10 +92,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if seeds.count() <= BROADCAST_SEEDS:
         # a hit takes along the few tokens around it, not the document's; verification waits for the second join, since
         # its lambdas in the first one's condition would break up the generated loop
-        hits = found.join(F.broadcast(seeds), "key").select("doc_id", "item_id", "item_at", "span", _near(F.col("words"), F.col("at"), F.col("span")).alias("near"))
+        near = _near(F.col("words"), F.col("at"), F.col("span")).alias("near")
+        hits = reduce(DataFrame.unionByName, [f.join(F.broadcast(seeds), "key").select("doc_id", "item_id", "item_at", "span", near) for f in found])
         hits = hits.join(F.broadcast(items), "item_id")
     else:  # only positions travel; the words of the two sides meet again at the alignments that a seed has hit
-        met = found.select("doc_id", "at", "span", "key").join(seeds, "key").select("doc_id", "item_id", "at", "item_at", "span").distinct()
+        met = reduce(DataFrame.unionByName, [f.select("doc_id", "at", "span", "key") for f in found]).join(seeds, "key").select("doc_id", "item_id", "at", "item_at", "span").distinct()
         hits = met.join(rows.dropDuplicates(["doc_id", "words"]), met["doc_id"].eqNullSafe(rows["doc_id"])).select(met["doc_id"], "item_id", "item_at", "span", _near(F.col("words"), F.col("at"), F.col("span")).alias("near"))
         hits = hits.join(items, "item_id")
     checked = hits.select("doc_id", "item_id", _overlap(F.col("near"), F.col("item"), F.col("item_at"), F.col("span")).alias("overlap"), F.size("item").alias("n"))
