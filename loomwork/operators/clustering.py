@@ -194,7 +194,8 @@ class AgglomerativeClustering(AlgoOperator, HasDistanceMeasure, HasFeaturesCol,
         if self.linkage == "ward" and self.distance_measure != "euclidean":
             raise ValueError("ward linkage needs Euclidean distances")
         window: Window = self.windows
-        tagged = window.assign(df, self.time_col).withColumn("__v", V.dense(df, self.features_col)).withColumn("__at", F.monotonically_increasing_id()).persist()
+        placed = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__v", V.dense(df, self.features_col))
+        tagged = window.assign(placed, self.time_col).persist()
         schema = T.StructType([*df.schema.fields, T.StructField(self.prediction_col, T.IntegerType())])
         names, me = df.columns, self
 

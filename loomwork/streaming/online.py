@@ -163,8 +163,8 @@ class OnlineLogisticRegression(CountBatchLearner, _OnlineLRModelParams, HasLabel
 
     def rows_of(self, df: DataFrame) -> DataFrame:
         weight = F.col(self.weight_col).cast("double") if self.weight_col else F.lit(1.0)
-        sparse = V.kind(df, self.features_col) == "sparse"
-        cols = [V.dense(df, self.features_col).alias("x"), F.col(self.label_col).cast("double").alias("y"), (weight if sparse else F.lit(1.0)).alias("w")]
+        dense = V.kind(df, self.features_col) != "sparse"  # weight 0 marks a dense row
+        cols = [V.dense(df, self.features_col).alias("x"), F.col(self.label_col).cast("double").alias("y"), (F.lit(0.0) if dense else weight).alias("w")]
         return df.select(*cols, *([F.col(self.order_col)] if self.order_col else []))
 
     def initial(self) -> dict[str, Any]:
@@ -176,8 +176,7 @@ class OnlineLogisticRegression(CountBatchLearner, _OnlineLRModelParams, HasLabel
         x, y, w = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         coef, z, n = (np.array(state[k]) for k in ("coef", "z", "n"))
         slope = 1 / (1 + np.exp(-np.clip(x @ coef, -700, 700))) - y
-        there = np.ones_like(x) if (w == 1).all() else (x != 0)
-        total = (there * w[:, None]).sum(axis=0)
+        total = np.where(w[:, None] == 0, 1.0, (x != 0) * w[:, None]).sum(axis=0)
         g = np.where(total > 0, (slope @ x) / np.where(total > 0, total, 1), 0.0)
         sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha
         z = z + g - sigma * coef
