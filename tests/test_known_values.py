@@ -93,3 +93,21 @@ def test_online_logistic_sparse_values(spark):
     test = spark.createDataFrame([((10, [1, 3, 5], [1.0] * 3),), ((10, [5, 8, 9], [1.0] * 3),)], kind).coalesce(1)
     for m, want in zip(made, ([[0.5105551725414953, 0.4894448274585047], [0.4452309884735286, 0.5547690115264714]], [[0.5249618837373886, 0.4750381162626114], [0.40310431554310666, 0.5968956844568933]]), strict=True):
         assert near([r.raw_prediction for r in m.transform(test).collect()], want, 1e-5)
+
+
+def test_minhash_values(spark):
+    kind = "id int, vec struct<size int, indices array<int>, values array<double>>"
+    a = spark.createDataFrame([(0, (6, [0, 1, 2], [1.0] * 3)), (1, (6, [2, 3, 4], [1.0] * 3)), (2, (6, [0, 2, 4], [1.0] * 3))], kind).coalesce(1)
+    b = spark.createDataFrame([(3, (6, [1, 3, 5], [1.0] * 3)), (4, (6, [2, 3, 5], [1.0] * 3)), (5, (6, [1, 2, 4], [1.0] * 3))], kind)
+    m = O.MinHashLSH(input_col="vec", output_col="hashes", seed=2022, num_hash_tables=5).fit(a)
+    assert [[h[0] for h in r.hashes] for r in m.transform(a).collect()] == [
+        [173046954.0, 157275425.0, 67798584.0, 638582806.0, 178703694.0],
+        [173046954.0, 157275425.0, 690717571.0, 502301169.0, 796714100.0],
+        [173046954.0, 157275425.0, 690717571.0, 1453197722.0, 796714100.0],
+    ]
+    assert {(r.id_a, r.id_b, r.distCol) for r in m.approx_similarity_join(a, b, 0.6, "id").collect()} == {(1, 4, 0.5), (0, 5, 0.5), (1, 5, 0.5), (2, 5, 0.5)}
+    fixed = O.MinHashLSHModel(input_col="vec").with_data(numHashTables=3, numHashFunctionsPerTable=1, randCoefficientA=[0, 1, 3], randCoefficientB=[1, 2, 0])
+    one = spark.createDataFrame([(0, (10, [2, 3, 5, 7], [1.0] * 4))], kind)
+    assert fixed.transform(one).first().output == [[1.0], [5.0], [9.0]]
+    with pytest.raises(Exception, match="non-zero"):
+        fixed.transform(spark.createDataFrame([(0, (10, [], []))], kind)).collect()
