@@ -74,10 +74,13 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
 
     A rule that votes is right on good documents at one rate and on bad ones at another: each looks for one kind of junk,
     so it passes most bad documents of other kinds but hardly ever strikes a good one.  Abstaining tells nothing.  Rates
-    are held to 0.995-0.9995 on good and 0.1-0.4 on bad documents, so a rule can't turn into its opposite.
+    are held to 0.998-0.9995 on good documents, and on bad ones to between one by the number of rules and 0.4 (or that, if
+    more), so that a bad document is expected to be struck by a rule and no rule turns into its opposite; the share of
+    good documents is held to at least a half.
     """
     if not patterns:
         return 0.5, []
+    least = 1 / len(patterns[0][0])
     width, share = len(patterns[0][0]), 0.85
     right = [(0.999, 0.3)] * width  # at first a single vote for bad outweighs all others
     for _ in range(rounds):
@@ -92,8 +95,8 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
                     on_good[k][1] += n * p
                     on_bad[k][0] += n * (1 - p) * (v == 0)
                     on_bad[k][1] += n * (1 - p)
-        share = min(max(good / total, 0.05), 0.99)
-        right = [(min(max(a / b, 0.995), 0.9995), min(max(c / d, 0.1), 0.4)) for (a, b), (c, d) in zip(on_good, on_bad, strict=True)]
+        share = min(max(good / total, 0.5), 0.99)
+        right = [(min(max(a / b, 0.998), 0.9995), min(max(c / d, least), max(0.4, least))) for (a, b), (c, d) in zip(on_good, on_bad, strict=True)]
     return share, right
 
 
