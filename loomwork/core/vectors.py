@@ -83,5 +83,23 @@ def per_element(df: DataFrame, v: Column, aggs: dict) -> tuple[int, dict[str, li
     return d, {k: [r[k] for r in rows] for k in aggs}
 
 
+def sparse_moments(df: DataFrame, name: str) -> tuple[int, list[tuple[float, float, float, float]]]:
+    """Row count, and (sum, sum of squares, least, greatest) of each element of sparse structs, whose zeros are not filled in.
+
+    Entries become rows, combined before the shuffle; only elements that occur reach the driver.
+    """
+    c = F.col(name)
+    n, size, least = df.agg(F.count(c), F.max(c["size"]), F.min(c["size"])).first()
+    if not n:
+        raise ValueError("the training set is empty")
+    if size != least:
+        raise ValueError(f"vectors of {least} and of {size} elements")
+    entries = df.select(F.explode(F.arrays_zip(c["indices"].alias("i"), c["values"].alias("x"))).alias("e")).select("e.*").toDF("i", "x")
+    out = [(0.0, 0.0, 0.0, 0.0)] * size
+    for i, s, q, low, high, k in entries.groupBy("i").agg(F.sum("x"), F.sum(F.col("x") * F.col("x")), F.min("x"), F.max("x"), F.count("x")).collect():
+        out[i] = (s, q, low if k == n else min(low, 0.0), high if k == n else max(high, 0.0))
+    return n, out
+
+
 def lit_array(values: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in values]) if values else F.array().cast("array<double>")

@@ -60,6 +60,10 @@ class StandardScaler(Estimator, _StandardParams):
     """Sample mean and standard deviation; that of a single row is 0, and a zero deviation maps to 0."""
 
     def fit(self, df: DataFrame) -> StandardScalerModel:
+        if V.kind(df, self.input_col) == "sparse":
+            n, parts = V.sparse_moments(df, self.input_col)
+            std = [math.sqrt(max(0.0, (q - a * a / n) / (n - 1))) if n > 1 else 0.0 for a, q, *_ in parts]
+            return self.model(StandardScalerModel(), mean=[a / n for a, *_ in parts], std=std, version=0, timestamp=2**63 - 1)
         _, s = V.per_element(df, V.dense(df, self.input_col), {"mean": F.avg, "std": F.stddev_samp})
         return self.model(StandardScalerModel(), mean=[_number(x) for x in s["mean"]], std=[0.0 if x is None or math.isnan(x) else x for x in s["std"]], version=0, timestamp=2**63 - 1)
 
@@ -87,6 +91,9 @@ class MinMaxScaler(Estimator, _MinMaxParams):
     """Maps the range of each element onto [min, max]."""
 
     def fit(self, df: DataFrame) -> MinMaxScalerModel:
+        if V.kind(df, self.input_col) == "sparse":
+            _, parts = V.sparse_moments(df, self.input_col)
+            return self.model(MinMaxScalerModel(), minVector=[x[2] for x in parts], maxVector=[x[3] for x in parts])
         _, s = V.per_element(df, V.dense(df, self.input_col), {"low": F.min, "high": F.max})
         return self.model(MinMaxScalerModel(), minVector=s["low"], maxVector=s["high"])
 
@@ -104,15 +111,8 @@ class MaxAbsScaler(Estimator, HasInputCol, HasOutputCol):
 
     def fit(self, df: DataFrame) -> MaxAbsScalerModel:
         if V.kind(df, self.input_col) == "sparse":  # entries become rows; the vectors are not filled up
-            v = F.col(self.input_col)
-            size = df.agg(F.max(v["size"])).first()[0]
-            if size is None:
-                raise ValueError("the training set is empty")
-            rows = df.select(F.explode(F.arrays_zip(v["indices"], v["values"])).alias("e")).groupBy("e.indices").agg(F.max(F.abs("e.values"))).collect()
-            most = [0.0] * size
-            for i, x in rows:
-                most[i] = x
-            return self.model(MaxAbsScalerModel(), maxVector=most)
+            _, parts = V.sparse_moments(df, self.input_col)
+            return self.model(MaxAbsScalerModel(), maxVector=[max(-x[2], x[3]) for x in parts])
         _, s = V.per_element(df, V.dense(df, self.input_col), {"most": lambda c: F.max(F.abs(c))})
         return self.model(MaxAbsScalerModel(), maxVector=s["most"])
 
@@ -202,6 +202,9 @@ class VarianceThresholdSelector(Estimator, HasInputCol, HasOutputCol):
     variance_threshold = Param("float", "variance to exceed", 0.0, gt_eq(0.0))
 
     def fit(self, df: DataFrame) -> VarianceThresholdSelectorModel:
+        if V.kind(df, self.input_col) == "sparse":
+            n, parts = V.sparse_moments(df, self.input_col)
+            return self.model(VarianceThresholdSelectorModel(), numOfFeatures=len(parts), indices=[k for k, (a, q, *_) in enumerate(parts) if q / n - (a / n) ** 2 > self.variance_threshold])
         d, s = V.per_element(df, V.dense(df, self.input_col), {"var": F.var_pop})
         return self.model(VarianceThresholdSelectorModel(), numOfFeatures=d, indices=[k for k, x in enumerate(s["var"]) if x > self.variance_threshold])
 

@@ -132,6 +132,22 @@ def test_wide_vectors(spark):
     assert near(m.transform(df).first().output[0], 0.0)
 
 
+def test_sparse_like_dense(spark):
+    rows = [[0.0, 2.0, -1.0, 0.0], [3.0, 2.0, 0.0, 0.0], [0.0, 4.0, -5.0, 0.0], [1.0, 2.0, 0.0, 0.0]]
+    dense = spark.createDataFrame([(x,) for x in rows], "input array<double>").coalesce(1)
+    sparse = spark.createDataFrame([((4, [i for i, v in enumerate(x) if v], [v for v in x if v]),) for x in rows], "input struct<size int, indices array<int>, values array<double>>").coalesce(1)
+    for made in (O.StandardScaler(), O.StandardScaler(with_mean=True), O.MinMaxScaler(), O.MaxAbsScaler(), O.VarianceThresholdSelector(variance_threshold=1.0), O.IDF()):
+        a, b = made.fit(dense), made.fit(sparse)
+        want = [r.output for r in a.transform(dense).collect()]
+        got = [r.output for r in b.transform(sparse).collect()]
+        got = [[dict(zip(g.indices, g["values"], strict=True)).get(k, 0.0) for k in range(g.size)] if hasattr(g, "indices") else g for g in got]
+        assert near(got, want), type(made).__name__
+    for made in (O.Binarizer(input_cols=["input"], output_cols=["output"], thresholds=[1.5]), O.Normalizer(), O.ElementwiseProduct(scaling_vec=[1.0, 2.0, 3.0, 4.0])):
+        got = [r.output for r in made.transform(sparse).collect()]
+        got = [[dict(zip(g.indices, g["values"], strict=True)).get(k, 0.0) for k in range(g.size)] for g in got]
+        assert near(got, [r.output for r in made.transform(dense).collect()]), type(made).__name__
+
+
 def test_imputer(spark):
     df = spark.createDataFrame([(math.nan, 9.0), (1.0, 9.0), (1.5, 9.0), (2.5, math.nan), (5.0, 5.0), (5.0, 4.0)], "f1 double, f2 double")
     im = O.Imputer(input_cols=["f1", "f2"], output_cols=["o1", "o2"])
