@@ -7,6 +7,7 @@ import math
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ..operators.classification import LogisticRegressionModel
 from ..operators.clustering import KMeansModel, KMeansModelParams
 from ..operators.scalers import _StandardParams
 from ..plans.dataflow import batches
-from .windows import GlobalWindows, Window
+from .windows import GlobalWindows, Window, millis
 
 
 class ModelStore:
@@ -211,25 +212,31 @@ class OnlineStandardScalerModel(Model, _StandardParams, HasModelVersion):
 
     def transform(self, df: DataFrame) -> DataFrame:
         v = V.dense(df, self.input_col)
-        found = self.versions.orderBy("version").collect()  # one small row per window
-        if not found:
+        stamps = [(r.version, r.timestamp) for r in self.versions.select("version", "timestamp").orderBy("version").collect()]  # two numbers per window
+        if not stamps:
             return df.limit(0)
         if self.time_col:
-            # the versions ascend in time, so the first that is fresh enough is the earliest
-            need = F.floor(F.unix_micros(F.col(self.time_col).cast("timestamp")) / 1000) - self.max_allowed_model_delay_ms
-            times = F.array(*[F.lit(int(r.timestamp)).cast("long") for r in found])
-            df = df.withColumn("__k", F.array_position(F.transform(times, lambda t: t >= need), True) - 1).where("__k >= 0")
+            # versions ascend in time, so the first that is fresh enough is the earliest: a binary search per row
+            held = df.sparkSession.sparkContext.broadcast(np.array([t for _, t in stamps], np.int64))
+
+            @F.arrow_udf("int")
+            def earliest(need: pa.Array) -> pa.Array:
+                at = np.searchsorted(held.value, need.fill_null(2**63 - 1).to_numpy(zero_copy_only=False), side="left")
+                return pa.array(at.astype(np.int32), mask=(at >= len(held.value)) | np.asarray(need.is_null()))
+
+            df = df.withColumn("__k", earliest(millis(F.col(self.time_col)) - self.max_allowed_model_delay_ms)).where("__k is not null")
         else:
-            df = df.withColumn("__k", F.lit(len(found) - 1))
-        pick = lambda name: F.get(F.array(*[V.lit_array(getattr(r, name)) for r in found]), F.col("__k").cast("int"))
-        df = df.withColumns({"__mean": pick("mean"), "__std": pick("std")})
+            df = df.withColumn("__k", F.lit(len(stamps) - 1))
+        made = self.versions.select((F.row_number().over(W.orderBy("version")) - 1).alias("__v"), F.col("version").alias("__version"), F.col("mean").alias("__mean"), F.col("std").alias("__std"))
+        wide = len(stamps) * (self.versions.select(F.max(F.size("mean"))).first()[0] or 0)
+        df = df.join(F.broadcast(made) if wide <= 1_000_000 else made, F.col("__k") == F.col("__v"))
         out = F.zip_with(v, F.col("__mean"), lambda x, m: x - m) if self.with_mean else v
         if self.with_std:
             out = F.zip_with(out, F.col("__std"), lambda x, s: F.when(s == 0, 0.0).otherwise(x / s))
         df = df.withColumn(self.output_col, V.like(df, self.input_col, out))
         if self.model_version_col:
-            df = df.withColumn(self.model_version_col, F.get(F.array(*[F.lit(int(r.version)).cast("long") for r in found]), F.col("__k").cast("int")))
-        return df.drop("__k", "__mean", "__std")
+            df = df.withColumn(self.model_version_col, F.col("__version"))
+        return df.drop("__k", "__v", "__version", "__mean", "__std")
 
 
 class OnlineStandardScaler(Estimator, _StandardParams, HasModelVersion):
