@@ -62,7 +62,7 @@ def votes() -> dict[str, Column]:
         "symbols": ratio(F.col("n_symbols"), chars, 0.01, 0.05, n > 0),
         "capitals": ratio(F.col("n_upper"), chars, 0.1, 0.3, n > 0),
         "marks": ratio(F.col("n_marks"), n, 0.05, 0.2, n > 0),
-        "repeats": ratio(F.col("n_repeat_words"), n, 0.1, 0.3, some),
+        "repeats": ratio(F.col("n_repeat_words"), n, 0.1, 0.45, some),
         "line_repeats": ratio(F.col("n_dup_lines"), lines, 0.1, 0.3, lines >= 10),
         "word_length": F.when(~some, -1).when((chars >= 3 * n) & (chars <= 9 * n), 1).when((chars < 2 * n) | (chars > 13 * n), 0).otherwise(-1),
         "sentences": F.when(n < 30, -1).when((n <= 60 * F.col("n_stops")) & (n >= 2 * F.col("n_stops")), 1).when(n > 200 * F.col("n_stops"), 0).otherwise(-1),
