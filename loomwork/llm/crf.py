@@ -126,12 +126,14 @@ def score_texts(chain: Chain, texts: list[str]) -> np.ndarray:
     return np.clip(np.add.reduceat(p * weight, at) / np.add.reduceat(weight, at), 0, 1)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1500) -> Chain:
-    """Train on about ``per_label`` labelled documents of each label, the documented bound of what reaches the driver.
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_bad: int = 1500, most_good: int = 3000) -> Chain:
+    """Train on about ``most_bad`` and ``most_good`` labelled documents, the documented bound of what reaches the driver.
+
+    Good documents vary more (numbers, addresses, licences, lines that recur), so more of them are looked at.
 
     Labels that are null, or of ids that have no document, teach nothing; of repeated rows each counts.
     """
-    marks = sample_by(labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("good")).where("_id is not null and good in (0, 1)"), "good", "_id", per_label)
+    marks = sample_by(labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("good")).where("_id is not null and good in (0, 1)"), "good", "_id", {0: most_bad, 1: most_good})
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     got = sorted((r.id, r.good, r.text) for r in rows.join(F.broadcast(marks), F.col("id") == F.col("_id")).select("id", "good", "text").collect())
     return train_chain([with_neighbours(line_features(t)) for *_, t in got], np.array([g for _, g, _ in got]))

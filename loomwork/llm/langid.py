@@ -172,13 +172,14 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
     return out, np.clip(score, 0, 1)
 
 
-def sample_by(df: DataFrame, by: str, id_col: str, most: int) -> DataFrame:
+def sample_by(df: DataFrame, by: str, id_col: str, most: int | Mapping[int, int]) -> DataFrame:
     """About ``most`` rows of each value of ``by`` (few values), taken by a hash of the id: the same rows at every run."""
     counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
     if not counts:
         return df.limit(0)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / n))]), F.col(by))
-    return df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * most * len(counts))
+    wanted = {k: most if isinstance(most, int) else most[k] for k in counts}
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, wanted[k] / n))]), F.col(by))
+    return df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * sum(wanted.values()))
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800, families: Mapping[str, str] = FAMILIES) -> Model:
