@@ -23,7 +23,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"), threshold=linededup.GROWING)
     return done.select("doc_id", "n_lines", "n_kept", F.char_length("text").alias("n_chars_kept"), F.xxhash64("text").alias("text_hash"))
 
 
