@@ -424,8 +424,10 @@ def swing(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def agglomerative_clustering(spark: SparkSession, d: str) -> DataFrame:
-    df = load(spark, d, "embeddings").where("label = 0").select("vec_id", F.col("embedding").alias("features"))
-    return O.AgglomerativeClustering(num_clusters=5, linkage="average").transform(df)[0].select("vec_id", "prediction")
+    # every row, in windows of 2000 ids: the matrix of a window is bounded, the last one may be smaller
+    df = load(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.timestamp_millis("vec_id").alias("at"))
+    made = O.AgglomerativeClustering(num_clusters=5, linkage="average", windows=W.EventTimeTumblingWindows(2000), time_col="at")
+    return made.transform(df)[0].select("vec_id", "prediction")
 
 
 # Locality-sensitive hashing.
