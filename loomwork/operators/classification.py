@@ -161,8 +161,9 @@ class KnnModel(Model, _KnnParams):
             def nearest(v: pd.Series) -> pd.Series:
                 x, y = held.value
                 out = []
-                for a in range(0, len(v), _BLOCK):
-                    dist = pairwise("euclidean", np.array(v.iloc[a : a + _BLOCK].tolist(), float), x)
+                step = max(1, min(_BLOCK, (1 << 21) // max(1, len(x))))  # 16 MB of distances at once
+                for a in range(0, len(v), step):
+                    dist = pairwise("euclidean", np.array(v.iloc[a : a + step].tolist(), float), x)
                     out += [_vote(y[np.argsort(row, kind="stable")[:k]]) for row in dist]
                 return pd.Series(out)
 

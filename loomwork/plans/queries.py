@@ -363,6 +363,13 @@ def knn(spark: SparkSession, d: str) -> DataFrame:
     return O.Knn(k=5).fit(df.orderBy("vec_id").coalesce(1)).transform(df.where("vec_id < 50")).select("vec_id", "prediction")
 
 
+@query()
+def knn_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of embeddings; the SQL of ``knn`` asks for the first 50 only."""
+    df = load(spark, d, "embeddings").withColumnRenamed("embedding", "features")
+    return O.Knn(k=5).fit(df.orderBy("vec_id").coalesce(1)).transform(df).select("vec_id", "prediction")
+
+
 def _kmeans_sql(rounds: int) -> str:
     parts = ["v as (select vec_id, embedding::double[64] e from embeddings)", "c0 as (select vec_id::int k, e c from v where vec_id < 3)"]
     for i in range(rounds):
