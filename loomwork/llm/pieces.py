@@ -93,14 +93,18 @@ def vocabulary(model: bytes) -> Vocabulary:
     return Vocabulary(model)
 
 
+def _skipped(key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray, limit: int) -> np.ndarray:
+    """Whether the keyed hash of a candidate's three bounds, of any size, skips it."""
+    return (_mix(_mix(_mix(key + start) + mid) + end) >> _U(32)) < _U(limit)
+
+
 def _candidates(v: Vocabulary, left, right, key, start, mid, end, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Merged ids and ranks of candidate merges; rank ``none`` for those that make no piece or that the keyed hash skips."""
     ids = v.merged(left, right)
     rank = np.where(ids >= 0, v.rank[ids], v.none)
     if limit:
         there = np.flatnonzero(ids >= 0)
-        spot = (start[there].astype(_U) << _U(42)) | (mid[there].astype(_U) << _U(21)) | end[there].astype(_U)
-        skipped = (_mix(_mix(key[there] + spot)) >> _U(32)) < _U(limit)
+        skipped = _skipped(key[there], start[there].astype(_U), mid[there].astype(_U), end[there].astype(_U), limit)
         rank[there[skipped]] = v.none
     return ids, rank
 
@@ -157,8 +161,7 @@ def _merge_heap(v: Vocabulary, ids: list[int], key: int, limit: int) -> list[int
         if made < 0:
             return
         if limit:
-            spot = np.array([(a << 42) | (b << 21) | end[b]], _U)
-            if int(_mix(_mix(np.array([key], _U) + spot))[0] >> _U(32)) < limit:
+            if _skipped(*(np.array([x], _U) for x in (key, a, b, end[b])), limit)[0]:
                 return
         heapq.heappush(agenda, (int(v.rank[made]), a, b, end[b], made))
 
