@@ -142,39 +142,25 @@ def test_banded_distance(spark):
             assert r.d == want if want <= k else r.d > k
 
 
-@pytest.mark.parametrize(("threshold", "crowd"), [(1, 32), (2, 4)])
-def test_near_pairs(spark, monkeypatch, threshold, crowd):
-    monkeypatch.setattr(linededup, "CROWD", crowd)
-    rng = random.Random(threshold)
-    lines = set()
-    for _ in range(8):
-        a = "".join(rng.choice("ab") for _ in range(rng.randrange(8, 30)))
-        lines |= {changed(rng, a, rng.randrange(0, 4)) for _ in range(20)}
-    lines |= {"x" * k + f"Q{k}" + "x" * (40 - k) for k in range(40)}
-    lines = sorted(x for x in lines if len(x) > 3)
-    df = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "id long, line string, n int")
-    got = {tuple(sorted((r.r, r.s))) for r in linededup.near_pairs(df, threshold).collect()}
-    want = {(i, j) for j in range(len(lines)) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= threshold and lev(lines[i], lines[j]) <= threshold}
-    assert got == want
-
-
-def slow_dedup(rows, threshold=1, least=20):
+def slow_dedup(rows, steps=linededup.STEPS):
     """Texts by (id, text): first occurrences in order of (id, hash, place); a line near an earlier one goes with all its copies."""
     first = {}
     for i, h, x in rows:
         for pos, line in enumerate((x or "").split("\n")) if x is not None else ():
-            if len(line) >= least:
+            if line.strip(" \t\n\x0b\x0c\r"):
                 at = (i is not None, i or 0, h, pos)
                 first[line] = min(first.get(line, at), at)
     order = sorted(first, key=first.get)
-    gone = {b for k, b in enumerate(order) for a in order[:k] if abs(len(a) - len(b)) <= threshold and lev(a, b) <= threshold}
+    edits = lambda n: max([k for least, k in steps if n >= least], default=0)
+    near = lambda a, b, k: k > 0 and abs(len(a) - len(b)) <= k and lev(a, b) <= k
+    gone = {b for k, b in enumerate(order) for a in order[:k] if near(a, b, edits(min(len(a), len(b))))}
     out = {}
     for i, h, x in rows:
         if x is None:
             out[i, x] = (0, 0, None)
             continue
         lines = x.split("\n")
-        stay = [y for pos, y in enumerate(lines) if len(y) < least or (first[y] == (i is not None, i or 0, h, pos) and y not in gone)]
+        stay = [y for pos, y in enumerate(lines) if not y.strip(" \t\n\x0b\x0c\r") or (first[y] == (i is not None, i or 0, h, pos) and y not in gone)]
         out[i, x] = (len(lines), len(stay), "\n".join(stay))
     return out
 
@@ -191,7 +177,7 @@ def test_line_dedup(spark, messy, empty):
     new = linededup.replace_texts(messy)
     assert new.columns == messy.columns and new.count() == messy.count()
     with pytest.raises(ValueError):
-        linededup.dedup_lines(messy, threshold=5, min_chars=5)
+        linededup.dedup_lines(messy, steps=((5, 3),))
 
 
 def test_sharding(spark, messy, empty):
