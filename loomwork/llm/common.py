@@ -124,3 +124,40 @@ def without(df: DataFrame, id_col: str, drop: DataFrame, name: str) -> DataFrame
     sure = marked.where(~F.col("_maybe")).select(*[F.col(c) for c in df.columns])
     rest = marked.where("_maybe").select(*[F.col(c) for c in df.columns])
     return sure.unionByName(rest.join(drop, rest[id_col].cast("long").eqNullSafe(drop["_drop"]), "left_anti"))
+
+
+def row_hash(text_col: str) -> Column:
+    """What tells rows of one id apart: a hash of the text."""
+    return F.xxhash64(F.col(text_col))
+
+
+def without_rows(df: DataFrame, id_col: str, text_col: str, drop: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id and text are not among ``doc_id, row`` of ``drop``; the texts of most rows don't move.
+
+    A row with ``once`` in ``drop`` is not dropped: of all rows of that id and text, one stays.  Null ids are ids like any
+    other.  As in ``without``, a bit table of fixed size lets the rows that are surely not in ``drop`` pass as they are.
+    """
+    drop = cut(drop.select(F.col("doc_id").cast("long").alias("_doc"), F.col("row").alias("_row"), "once").distinct())
+    pair = lambda i, row: F.xxhash64(F.coalesce(i, F.lit(0).cast("long")), i.isNull(), row)
+    bits, word, bit = filter_bits(drop.select(pair(F.col("_doc"), F.col("_row")).alias("_pair")), "_pair")
+    key = pair(F.col(id_col).cast("long"), row_hash(text_col))
+    there = F.call_function("shiftright", F.col("_bits"), bit(key)).bitwiseAND(F.lit(1).cast("long")) == 1
+    marked = df.join(F.broadcast(bits), word(key) == F.col("_word"), "left").withColumn("_maybe", F.coalesce(there, F.lit(False)))
+    mine = [F.col(c) for c in df.columns]
+    sure, rest = marked.where(~F.col("_maybe")).select(*mine), marked.where("_maybe").select(*mine, row_hash(text_col).alias("_mine"))
+    rest = rest.join(drop, rest[id_col].cast("long").eqNullSafe(drop["_doc"]) & (rest["_mine"] == drop["_row"]), "left").where("_row is null or once")
+    single = rest.where("once").dropDuplicates([id_col, "_mine"])
+    return sure.unionByName(rest.where("once is null").select(*mine)).unionByName(single.select(*mine))
+
+
+def all_but_one(rows: DataFrame) -> DataFrame:
+    """``doc_id, row, once`` of what goes when one row of each group stays: ``rows`` has ``doc_id, row, part``, a row for each document.
+
+    The one with the smallest id stays (an id before none, then the smaller hash); ``once`` marks it where it repeats.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
+    rows = rows.groupBy("part", "doc_id", "row").agg(F.count("*").alias("n"))
+    first = rows.groupBy("part").agg(F.min(order).alias("first"))
+    met = rows.join(first, rows["part"].eqNullSafe(first["part"])).select("doc_id", "row", "n", (order == F.col("first")).alias("stays"))
+    # compared as structs, a null id equals a null id
+    return met.where("not stays or n > 1").select("doc_id", "row", F.when(F.col("stays"), F.lit(True)).otherwise(F.lit(False)).alias("once"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, row_hash, without_rows
 
 #: Fixed masks of eight tokens; a 0 is ignored.  Together they hit every window of 13 tokens with any two of them
 #: replaced, and every window of 9 to 12 with any one replaced (checked exhaustively in the tests).
@@ -70,14 +70,15 @@ def _overlap(near: Column, item: Column, item_at: Column, span: Column) -> Colum
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, overlap, window`` for every document that holds a passage of a benchmark item.
+    """``doc_id, row, item_id, overlap, window`` for every document that holds a passage of a benchmark item; ``row`` is the hash of its text.
 
     A passage is a window of 13 tokens of the item (all of it, if shorter) that stands in the document with at most two
     tokens replaced (one for items of 9 to 12 tokens, none below).  The masks find every such window; each hit is
     verified along its alignment and the best overlap of an item counts.
 
-    Items without a token match nothing; documents that are null, empty or without tokens hold nothing.  Repeated rows
-    and items give one row per (document, item).  Either table may be empty.  Other columns are ignored.
+    Items without a token match nothing; documents that are null, empty or without tokens hold nothing.  Documents are
+    told apart by id and text: texts that share an id, or have none, are found each for itself.  Repeated rows and items
+    give one row per (document, item).  Either table may be empty.  Other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     short = sorted(r[0] for r in items.where(F.size("words") <= SPAN).select(F.size("words")).distinct().collect())
@@ -87,33 +88,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         seeds = seeds.unionByName(mine.select("item_id", "words", F.lit(0).alias("at"), F.lit(s).alias("span"), _seed(F.col("words"), F.lit(0), len(MASKS) + s, list(range(s))).alias("key")))
     seeds = cut(seeds.select("item_id", F.col("at").alias("item_at"), "key").distinct())
     items = items.select("item_id", F.col("words").alias("item")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.col(text_col)).alias("words"))
-    found = _seeds(rows, ["doc_id"], short)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), tokens(F.col(text_col)).alias("words"))
+    found = _seeds(rows, ["doc_id", "row"], short)
     if seeds.count() <= BROADCAST_SEEDS:
         # a hit takes along the few tokens around it, not the document's; verification waits for the second join, since
         # its lambdas in the first one's condition would break up the generated loop
         near = _near(F.col("words"), F.col("at"), F.col("span")).alias("near")
-        hits = reduce(DataFrame.unionByName, [f.join(F.broadcast(seeds), "key").select("doc_id", "item_id", "item_at", "span", near) for f in found])
+        hits = reduce(DataFrame.unionByName, [f.join(F.broadcast(seeds), "key").select("doc_id", "row", "item_id", "item_at", "span", near) for f in found])
         hits = hits.join(F.broadcast(items), "item_id")
     else:  # only positions travel; the words of the two sides meet again at the alignments that a seed has hit
-        met = reduce(DataFrame.unionByName, [f.select("doc_id", "at", "span", "key") for f in found]).join(seeds, "key").select("doc_id", "item_id", "at", "item_at", "span").distinct()
-        hits = met.join(rows.dropDuplicates(["doc_id", "words"]), met["doc_id"].eqNullSafe(rows["doc_id"])).select(met["doc_id"], "item_id", "item_at", "span", _near(F.col("words"), F.col("at"), F.col("span")).alias("near"))
+        met = reduce(DataFrame.unionByName, [f.select("doc_id", "row", "at", "span", "key") for f in found]).join(seeds, "key").select("doc_id", "row", "item_id", "at", "item_at", "span").distinct()
+        texts = rows.dropDuplicates(["doc_id", "row"])
+        hits = met.join(texts, met["doc_id"].eqNullSafe(texts["doc_id"]) & (met["row"] == texts["row"])).select(met["doc_id"], met["row"], "item_id", "item_at", "span", _near(F.col("words"), F.col("at"), F.col("span")).alias("near"))
         hits = hits.join(items, "item_id")
-    checked = hits.select("doc_id", "item_id", _overlap(F.col("near"), F.col("item"), F.col("item_at"), F.col("span")).alias("overlap"), F.size("item").alias("n"))
+    checked = hits.select("doc_id", "row", "item_id", _overlap(F.col("near"), F.col("item"), F.col("item_at"), F.col("span")).alias("overlap"), F.size("item").alias("n"))
     passed = checked.where(F.col("overlap") >= F.least("n", F.lit(WINDOW)) - allowed(F.col("n")))
-    return passed.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"), F.least(F.max("n"), F.lit(WINDOW)).alias("window"))
+    return passed.groupBy("doc_id", "row", "item_id").agg(F.max("overlap").alias("overlap"), F.least(F.max("n"), F.lit(WINDOW)).alias("window"))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, contaminated, n_items`` for every row of ``docs``."""
-    found = contaminated(docs, benchmark, id_col, text_col).groupBy(F.col("doc_id").alias("hit")).agg(F.count("*").alias("n"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(found, F.col("doc_id").eqNullSafe(F.col("hit")), "left")
+    """``doc_id, contaminated, n_items`` for every row of ``docs``, each judged by its own text."""
+    found = contaminated(docs, benchmark, id_col, text_col).groupBy(F.col("doc_id").alias("hit"), F.col("row").alias("hit_row")).agg(F.count("*").alias("n"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit")) & (F.col("row") == F.col("hit_row")), "left")
     return rows.select("doc_id", F.col("n").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0)).alias("n_items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark."""
-    return without(docs, id_col, contaminated(docs, benchmark, id_col, text_col), "doc_id")
+    """The rows of ``docs``, with all columns, whose text holds no passage of the benchmark; ids don't matter, null or repeated."""
+    return without_rows(docs, id_col, text_col, contaminated(docs, benchmark, id_col, text_col).select("doc_id", "row", F.lit(False).alias("once")))
 
 
 #: Brute force in DuckDB: every run of four tokens (any window within the tolerance holds one, by pigeonhole) of the

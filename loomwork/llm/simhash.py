@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, connected_components, cut, without
+from .common import all_but_one, bound_batches, connected_components, cut, row_hash, without_rows
 
 BITS = 64
 #: A bucket of more fingerprints than this is dealt out again under a further family of masks.
@@ -42,14 +42,14 @@ def _majority(hashes: np.ndarray, block: int = 16384) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp``: the SimHash of every whole text, as a signed 64-bit integer."""
+    """``doc_id, row, fp``: the hash and the SimHash of every whole text, the latter as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").cast(pa.binary()).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def covering_masks(radius: int, family: int = 0) -> list[int]:
@@ -157,6 +157,18 @@ def covering_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     raise AssertionError("masks of all levels leave at most 12 bits free, so no bucket can be left over")
 
 
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """``doc_id, row, fp, part, component_id`` per document: ``part`` is one number for each component."""
+    fps = cut(fingerprints(docs, id_col, text_col, shingle))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = connected_components(covering_links(nodes, radius))
+    linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "low")
+    lowest = linked.groupBy("root").agg(F.min("low").alias("component"))
+    named = linked.join(lowest, "root").select("fp", "root", "component")
+    named = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("part"), F.coalesce("component", "low").alias("component_id")))
+    return fps.join(named, "fp").select("doc_id", "row", "fp", "part", "component_id")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per document; component_id is the smallest id reachable over links.
 
@@ -166,17 +178,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     they come; a null id takes part but never names a component unless all ids in it are null.  An empty table gives an
     empty result, and other columns are ignored.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = connected_components(covering_links(nodes, radius))
-    linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "low")
-    lowest = linked.groupBy("root").agg(F.min("low").alias("component"))
-    named = linked.join(lowest, "root").select("fp", "component")
-    named = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = simhash_groups(docs, id_col, text_col, shingle, radius)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group (all rows of that id, if it repeats)."""
-    found = simhash_components(docs, id_col, text_col, shingle, radius)
-    return without(docs, id_col, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), "doc_id")
+    """One row of ``docs`` for each component, with all columns: the one with the smallest id (an id before none, then by the hash of the text).
+
+    Rows are told apart by id and text; of rows equal in both, one stays.
+    """
+    return without_rows(docs, id_col, text_col, all_but_one(simhash_groups(docs, id_col, text_col, shingle, radius)))
