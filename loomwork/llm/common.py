@@ -161,3 +161,9 @@ def all_but_one(rows: DataFrame) -> DataFrame:
     met = rows.join(first, rows["part"].eqNullSafe(first["part"])).select("doc_id", "row", "n", (order == F.col("first")).alias("stays"))
     # compared as structs, a null id equals a null id
     return met.where("not stays or n > 1").select("doc_id", "row", F.when(F.col("stays"), F.lit(True)).otherwise(F.lit(False)).alias("once"))
+
+
+def inline(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
+    """A local relation of literals."""
+    value = lambda x: f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else str(x)
+    return spark.sql(f"select * from values {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)} as t({names})")

@@ -6,10 +6,10 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, inline
 from .decontam import tokens
 
 # SPDX identifiers and the usual wording of their notices.
@@ -80,12 +80,6 @@ def anchors(templates: list[dict[str, float]], threshold: float = THRESHOLD) ->
     return sorted(out)
 
 
-def _inline(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
-    """A local relation of literals."""
-    value = lambda x: f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else str(x)
-    return spark.sql(f"select * from values {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)} as t({names})")
-
-
 def notices(files: DataFrame, key_cols: list[str], text: Column, threshold: float = THRESHOLD) -> DataFrame:
     """``key_cols, license, similarity, n_notices``: the notice line most like a template, of every row that has one.
 
@@ -98,8 +92,8 @@ def notices(files: DataFrame, key_cols: list[str], text: Column, threshold: floa
     vectors = template_weights(weight)
     anchor = F.array(*[F.lit(t) for t in anchors(vectors, threshold)])
     entries = [(k, name, t, float(w), weight[t]) for k, ((name, _), v) in enumerate(zip(TEMPLATES, vectors, strict=True)) for t, w in v.items()]
-    table = _inline(spark, "template, name, term, w, idf", entries)  # some 300 rows, whatever the input
-    terms = _inline(spark, "term, idf", [(t, weight[t]) for t in VOCABULARY])
+    table = inline(spark, "template, name, term, w, idf", entries)  # some 300 rows, whatever the input
+    terms = inline(spark, "term, idf", [(t, weight[t]) for t in VOCABULARY])
     lines = rows.where(F.arrays_overlap("words", anchor)).select(*key_cols, F.explode(F.split("text", "\n")).alias("line"))
     lines = cut(lines.select(*key_cols, "line", tokens(F.col("line")).alias("words")).where(F.arrays_overlap("words", anchor)).select(*key_cols, F.array_join("words", " ").alias("line")))
     tf = lines.select("line").distinct().select("line", F.explode(F.split("line", " ")).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut
-
-#: Texts of up to so many words keep a shingle's hash and place in one integer.
-_PLACE_BITS = 20
-
+from .common import SPACE_CLASS, cut, inline
 
 def _twice(grams: Column, order: Column) -> Column:
     """Places of the windows that occur twice or more, ascending; ``order`` holds all places sorted by hash.
@@ -38,96 +35,97 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "doc_id", F.size(w).cast("long").alias("n_words"), grams.alias("grams"),
         (F.char_length("text") - F.regexp_count("text", F.lit(SPACE_CLASS))).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count("text", F.lit(r"[!?]")).cast("long").alias("n_marks"), F.regexp_count("text", F.lit(r"[.,;:]")).cast("long").alias("n_stops"),
+        F.regexp_count("text", F.lit(r"[.,;:]")).cast("long").alias("n_stops"), F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>][^\x20\x09-\x0D]*+")).cast("long").alias("n_symbol_words"), F.regexp_count("text", F.lit(r"([#*$%&|<>])\1++")).cast("long").alias("n_symbol_runs"),
+        F.regexp_count("text", F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])")).cast("long").alias("n_bare_words"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
     g = F.col("grams")
-    small = F.transform(F.sort_array(F.transform(g, lambda h, i: h.bitwiseAND(F.lit(-(1 << _PLACE_BITS))).bitwiseOR(i.cast("long")))), lambda x: x.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int"))
-    large = F.transform(F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda x: x["i"])
-    base = base.withColumn("order", F.when(F.size(F.array_distinct(g)) == F.size(g), F.array().cast("array<int>")).when(F.size(g) < 1 << _PLACE_BITS, small).otherwise(large))
+    places = F.transform(F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda x: x["i"])
+    base = base.withColumn("order", F.when(F.size(F.array_distinct(g)) == F.size(g), F.array().cast("array<int>")).otherwise(places))
     base = base.withColumn("twice", _twice(g, F.col("order")))  # columns of their own: inside a lambda an expression would run again for every element
     return base.withColumn("n_repeat_words", _covered(F.col("twice")).cast("long")).drop("grams", "order", "twice")
 
 
 def votes() -> dict[str, Column]:
-    """The rules: 1 votes for good, 0 for bad, -1 abstains.  A text without a word gets none but the first vote."""
+    """The rules: 1 votes for good, 0 for bad, -1 abstains.  Several rules look at each kind of junk, each from another side."""
     n, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
 
-    def ratio(a: Column, b: Column, good: float, bad: float, enough: Column) -> Column:
-        return F.when(~enough | (b <= 0), -1).when(a < good * b, 1).when(a > bad * b, 0).otherwise(-1)
+    def ratio(a: str, b: Column, good: float, bad: float, enough: Column) -> Column:
+        return F.when(~enough | (b <= 0), -1).when(F.col(a) < good * b, 1).when(F.col(a) > bad * b, 0).otherwise(-1)
 
     some = n >= 10
     return {
-        "length": F.when(n < 5, 0).when(n >= 50, 1).otherwise(-1),
-        "symbols": ratio(F.col("n_symbols"), chars, 0.01, 0.05, n > 0),
-        "capitals": ratio(F.col("n_upper"), chars, 0.1, 0.3, n > 0),
-        "marks": ratio(F.col("n_marks"), n, 0.05, 0.2, n > 0),
-        "repeats": ratio(F.col("n_repeat_words"), n, 0.1, 0.45, some),
-        "line_repeats": ratio(F.col("n_dup_lines"), lines, 0.1, 0.3, lines >= 10),
+        "symbols": ratio("n_symbols", chars, 0.01, 0.05, n > 0),
+        "symbol_words": ratio("n_symbol_words", n, 0.02, 0.15, some),
+        "symbol_runs": ratio("n_symbol_runs", n, 0.01, 0.1, some),
+        "bare_words": ratio("n_bare_words", n, 0.02, 0.1, some),
+        "letters": F.when(n <= 0, -1).when(F.col("n_letters") > 0.93 * chars, 1).when(F.col("n_letters") < 0.9 * chars, 0).otherwise(-1),
+        "capitals": ratio("n_upper", chars, 0.1, 0.3, n > 0),
+        "repeats": ratio("n_repeat_words", n, 0.1, 0.45, some),
+        "line_repeats": ratio("n_dup_lines", lines, 0.1, 0.3, lines >= 10),
         "word_length": F.when(~some, -1).when((chars >= 3 * n) & (chars <= 9 * n), 1).when((chars < 2 * n) | (chars > 13 * n), 0).otherwise(-1),
         "sentences": F.when(n < 30, -1).when((n <= 60 * F.col("n_stops")) & (n >= 2 * F.col("n_stops")), 1).when(n > 200 * F.col("n_stops"), 0).otherwise(-1),
     }
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[tuple[float, float]]]:
+#: A priori a vote is right at this rate, which counts as much as that share of the documents (and ten more) having cast it.
+RIGHT, WEIGHT = 0.8, 0.01
+
+
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300) -> tuple[float, list[tuple[float, float]]]:
     """The share of good documents and each rule's two accuracies, by expectation-maximisation over vote patterns.
 
-    A rule that votes is right on good documents at one rate and on bad ones at another: each looks for one kind of junk,
-    so it passes most bad documents of other kinds but hardly ever strikes a good one.  Abstaining tells nothing.  Rates
-    are held to 0.998-0.9995 on good documents, and on bad ones to between one by the number of rules and 0.4 (or that, if
-    more), so that a bad document is expected to be struck by a rule and no rule turns into its opposite; the share of
-    good documents is held to at least a half.
+    A vote is right on good documents at one rate and on bad ones at another, both free: a rule that strikes many
+    documents which all others pass is learned to be noisy.  Abstaining tells nothing.  All rules start equally good at
+    both, so the majority of the votes tells which class is the good one; a weak prior at the same rates keeps a rule that
+    never votes from having any.
     """
     if not patterns:
         return 0.5, []
-    least = 1 / len(patterns[0][0])
-    width, share = len(patterns[0][0]), 0.85
-    right = [(0.999, 0.3)] * width  # at first a single vote for bad outweighs all others
+    vote, n = np.array([p for p, _ in patterns]), np.array([k for _, k in patterns], float)
+    cast, up, down = (vote >= 0).astype(float), (vote == 1).astype(float), (vote == 0).astype(float)
+    weight = 10 + WEIGHT * n.sum()
+    share, right = 0.5, np.full((vote.shape[1], 2), RIGHT)
     for _ in range(rounds):
-        good = total = 0.0
-        on_good, on_bad = [[0.99, 1.0] for _ in range(width)], [[0.3, 1.0] for _ in range(width)]  # a weak prior
-        for votes_, n in patterns:
-            p = posterior(votes_, share, right)
-            good, total = good + p * n, total + n
-            for k, v in enumerate(votes_):
-                if v >= 0:
-                    on_good[k][0] += n * p * (v == 1)
-                    on_good[k][1] += n * p
-                    on_bad[k][0] += n * (1 - p) * (v == 0)
-                    on_bad[k][1] += n * (1 - p)
-        share = min(max(good / total, 0.5), 0.99)
-        right = [(min(max(a / b, 0.998), 0.9995), min(max(c / d, least), max(0.4, least))) for (a, b), (c, d) in zip(on_good, on_bad, strict=True)]
-    return share, right
+        good = n * _posteriors(vote, share, right)
+        bad = n - good
+        share = (good.sum() + weight) / (n.sum() + 2 * weight)
+        right = np.stack([(up.T @ good + RIGHT * weight) / (cast.T @ good + weight), (down.T @ bad + RIGHT * weight) / (cast.T @ bad + weight)], axis=1)
+    return float(share), [(float(a), float(b)) for a, b in right]
+
+
+def _posteriors(vote: np.ndarray, share: float, right: np.ndarray) -> np.ndarray:
+    odds = np.log(share / (1 - share)) + (vote == 1) @ np.log(right[:, 0] / (1 - right[:, 1])) + (vote == 0) @ np.log((1 - right[:, 0]) / right[:, 1])
+    return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
 def posterior(votes_: tuple[int, ...], share: float, right: list[tuple[float, float]]) -> float:
     """P(good) given the votes that were cast."""
-    odds = math.log(share / (1 - share))
-    for v, (good, bad) in zip(votes_, right, strict=True):
-        if v >= 0:
-            odds += math.log(good / (1 - bad)) if v else math.log((1 - good) / bad)
-    return 1 / (1 + math.exp(-max(min(odds, 700), -700)))
+    return float(_posteriors(np.array([votes_]), share, np.array(right).reshape(-1, 2))[0])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior`` per row.
 
     ``base_failed``: under 50 words, or over half of them repeated.  Otherwise a text is kept at a posterior of at least
-    ``threshold``.  Counts of vote patterns (at most 3**8, whatever the input) reach the driver, where the accuracies are
-    estimated over all documents; the pattern's posterior goes back as a map of that bounded size.
+    ``threshold``.  Counts of the vote patterns of texts that pass the base (at most 3**10, whatever the input, and some
+    dozens in practice) reach the driver, where the accuracies are estimated over all of these; each pattern's posterior
+    goes back as a row of a table of that bounded size.  Texts that fail the base are judged by the same accuracies.
 
     Null and empty texts have no words, so they fail the base; null ids and repeated rows are kept as rows of their own;
     an empty table gives an empty result; other columns are ignored.
     """
     rules = votes()
-    pattern = sum((F.col(f"v_{k}").cast("int") + 1) * 3**i for i, k in enumerate(rules))
-    # only what the verdict needs is kept from the one pass over the texts: numbers
-    counted = cut(metrics(docs, id_col, text_col).select("*", *[r.alias(f"v_{k}") for k, r in rules.items()]).withColumn("pattern", pattern))
-    seen = sorted((r["pattern"], r["count"]) for r in counted.groupBy("pattern").count().collect())
-    known = {p: tuple(p // 3**i % 3 - 1 for i in range(len(rules))) for p, _ in seen}
-    share, right = fit_votes([(known[p], n) for p, n in seen])
-    table = [x for p, v in known.items() for x in (F.lit(p), F.lit(posterior(v, share, right)))]
-    chance = F.element_at(F.create_map(*table), F.col("pattern")) if table else F.lit(0.5)
+    pattern = reduce(Column.__add__, [(F.col(f"v_{k}") + 1) * 3**i for i, k in enumerate(rules)])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), chance.alias("posterior"))
+    # only what the verdict needs is kept from the one pass over the texts: numbers
+    counted = metrics(docs, id_col, text_col).select("*", *[r.alias(f"v_{k}") for k, r in rules.items()]).withColumn("pattern", pattern).withColumn("base_failed", failed)
+    counted = cut(counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "pattern"))
+    seen = [(r["pattern"], r["n"]) for r in counted.groupBy("pattern").agg(F.sum((~F.col("base_failed")).cast("long")).alias("n")).collect()]
+    known = {p: tuple(p // 3**i % 3 - 1 for i in range(len(rules))) for p, _ in sorted(seen)}
+    share, right = fit_votes([(known[p], n) for p, n in sorted(seen) if n])
+    chances = [(p, posterior(v, share, right) if right else 0.5) for p, v in known.items()] or [(0, 0.5)]
+    table = inline(docs.sparkSession, "pattern, posterior", chances)
+    judged = counted.join(F.broadcast(table), "pattern").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
