@@ -276,11 +276,11 @@ SITE = '<!DOCTYPE html><html><head><title>T{k}</title><script>if (a < b) "</p>"<
 
 
 def test_extraction():
-    body = "<main><h1>Head&nbsp;{k}</h1><p>One <b>bold</b>\n text &amp; more &lt;x&gt;<p>Two<br>lines</p><ul><li>a<li>b</ul>{more}</main>"
-    pages = [SITE.replace("{main}", body).replace("{more}", "<p>Extra</p>" * (k % 3)).replace("{k}", str(k)) for k in range(8)]
+    body = "<main><h1>Head&nbsp;{k}</h1><p>One <b>bold</b>\n text &amp; more &lt;x&gt; {k}<p>Two<br>lines {k}<ul><li>a{k}<li>b{k}</ul>{more}</main>"
+    pages = [SITE.replace("{main}", body).replace("{more}", "<p>Extra {k}</p>" * (k % 3)).replace("{k}", str(k)) for k in range(8)]
     w = wrappers.dump(wrappers.infer(pages[:5]))
     for k, page in enumerate(pages):
-        want = "\n\n".join([f"Head {k}", "One bold text & more <x>", "Two lines", "a", "b", *["Extra"] * (k % 3)])
+        want = "\n\n".join([f"Head {k}", f"One bold text & more <x> {k}", f"Two lines {k}", f"a{k}", f"b{k}", *[f"Extra {k}"] * (k % 3)])
         assert wrappers.extract(page, w) == want == wrappers.extract(page, None)
     plain = [SITE.replace("{main}", "<div><p>Fixed line</p><div id=text><p>" + prose(EN, 40) + "</p><p>" + prose(EN, 30) + "</p></div></div>").replace("{k}", str(k)) for k in range(6)]
     w = wrappers.dump(wrappers.infer(plain))
@@ -290,11 +290,41 @@ def test_extraction():
     assert wrappers.extract("<p>a<p>b<div><", None)
 
 
+def test_wrapper_decides():
+    """What the pages of a host have in common tells more than a page alone: the template inside the article, and where the text lies."""
+    share = "<article><h1>Head {k}</h1><p>{text}</p><p>Share this article with your friends and read our other news</p></article>"
+    pages = [SITE.replace("{main}", share).replace("{text}", prose(EN, 25)).replace("{k}", str(k)) for k in range(5)]
+    w = wrappers.dump(wrappers.infer(pages))
+    assert "Share this" in wrappers.extract(pages[2], None) and "Share this" not in wrappers.extract(pages[2], w) and "Head 2" in wrappers.extract(pages[2], w)
+    divs = "<html><body><div class=story><p>{text}</p></div><div class=more><p>{other}</p></div></body></html>"
+    pages = [divs.replace("{text}", prose(EN, 60)).replace("{other}", prose(EN, 8)) for _ in range(5)] + [divs.replace("{text}", "A short one.").replace("{other}", prose(DE, 20))]
+    w = wrappers.dump(wrappers.infer(pages[:5]))
+    assert wrappers.extract(pages[5], w) == "A short one." != wrappers.extract(pages[5], None)
+    other = "<html><body><table><tr><td>Quite another page of the host</table></body></html>"
+    assert wrappers.extract(other, w) == "Quite another page of the host"
+
+
+def test_hints():
+    """Classes are weak hints: whole names, and not for what holds most of the text."""
+    text = prose(EN, 30)
+    for name in ("single no-sidebar", "with-sidebar", "sidebar", "has-footer"):
+        assert wrappers.extract(f'<body class="{name}"><div><p>{text}</p></div><div class="sidebar">Other</div></body>', None) == text
+    same = [f"<p>{text}</p><p>{text}</p>"] * 4
+    assert wrappers.extract(same[0], wrappers.dump(wrappers.infer(same))) == f"{text}\n\n{text}"
+
+
+def test_large_units():
+    """A repeated element of many nodes is one group."""
+    card = "<section>" + "".join(f"<h3>h{{k}}{i}</h3><div><p>t{{k}}{i}</p></div><blockquote>q</blockquote>" for i in range(9)) + "</section>"
+    page = "<body>" + "".join(card.replace("{k}", str(k)) for k in range(5)) + "</body>"
+    assert sum(n[0][0] == "+" for n in wrappers.fold(wrappers.tokens(page))) == 1
+
+
 def test_wrapper_inference():
     w = wrappers.infer(["<ul><li>a<li>b</ul><p>x", "<ul><li>c</ul><h2>n</h2><p>x", "<ul><li>d<li>e<li>f</ul><p>x"])
     assert ("+", (("<", "li"), ("t",), (">", "li"))) in w.keys
     assert [o for k, o in zip(w.keys, w.optional, strict=True) if k in (("<", "h2"), (">", "h2"))] == [True, True]
-    assert any(s[0] == "x" for slots in w.slots for s in slots)
+    assert any(s[0] == {"x": 3} for slots in w.slots for s in slots)
 
 
 @pytest.mark.parametrize("most", [48_000_000, 400])
