@@ -23,6 +23,7 @@ _TILE = 8192
 #: Chunks of more characters than this are merged one by one with a heap instead of side by side in a matrix.
 WIDEST = 64
 _U = np.uint64
+_ALL = 2**64 - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -148,35 +149,38 @@ def _merge_matrix(v: Vocabulary, ids: np.ndarray, count: np.ndarray, key: np.nda
     return done_ids, done_count
 
 
-def _merge_heap(v: Vocabulary, ids: list[int], key: int, limit: int) -> list[int]:
-    """The same merges of one long chunk, by an agenda."""
+def _mix_int(x: int) -> int:
+    """The same finaliser of one number."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return x ^ (x >> 31)
+
+
+def _merge_heap(v: Vocabulary, ids: np.ndarray, key: int, limit: int) -> list[int]:
+    """The same merges of one long chunk, by an agenda: the pairs at first are looked up and hashed all at once, those that merges make one by one."""
     n = len(ids)
-    ids, nxt, prev = list(ids), [*range(1, n), -1], [-1, *range(n - 1)]
-    end = list(range(1, n + 1))
-    agenda: list[tuple[int, int, int, int, int]] = []
-
-    def offer(a: int) -> None:
-        b = nxt[a] if a >= 0 else -1
-        made = v.pairs.get(ids[a] * v.size + ids[b], -1) if b >= 0 else -1
-        if made < 0:
-            return
-        if limit:
-            if _skipped(*(np.array([x], _U) for x in (key, a, b, end[b])), limit)[0]:
-                return
-        heapq.heappush(agenda, (int(v.rank[made]), a, b, end[b], made))
-
-    for a in range(n):
-        offer(a)
-    alive = [True] * n
+    at = np.arange(n, dtype=np.int64)
+    made, rank = _candidates(v, ids[:-1], ids[1:], np.full(n - 1, key, _U), at[:-1], at[:-1] + 1, at[:-1] + 2, limit)
+    there = np.flatnonzero(rank < v.none)
+    agenda = list(zip(rank[there].tolist(), there.tolist(), (there + 1).tolist(), (there + 2).tolist(), made[there].tolist(), strict=True))
+    heapq.heapify(agenda)
+    push, pop, pairs, size, ranks, mix = heapq.heappush, heapq.heappop, v.pairs, v.size, v.rank.tolist(), _mix_int
+    ids, nxt, prev = ids.tolist(), [*range(1, n), -1], [-1, *range(n - 1)]
+    end, alive = list(range(1, n + 1)), bytearray(b"\x01") * n
     while agenda:
-        _, a, b, stop, made = heapq.heappop(agenda)
+        _, a, b, stop, new = pop(agenda)
         if not (alive[a] and alive[b] and nxt[a] == b and end[b] == stop):
             continue
-        ids[a], end[a], nxt[a], alive[b] = made, stop, nxt[b], False
-        if nxt[b] >= 0:
-            prev[nxt[b]] = a
-        offer(prev[a])
-        offer(a)
+        after, before = nxt[b], prev[a]
+        ids[a], end[a], nxt[a], alive[b] = new, stop, after, 0
+        if after >= 0:
+            prev[after] = a
+        for left, right in ((before, a), (a, after)):
+            if left < 0 or right < 0:
+                continue
+            new = pairs.get(ids[left] * size + ids[right], -1)
+            if new >= 0 and not (limit and mix((mix((mix((key + left) & _ALL) + right) & _ALL) + end[right]) & _ALL) >> 32 < limit):
+                push(agenda, (ranks[new], left, right, end[right], new))
     return [ids[a] for a in range(n) if alive[a]]
 
 
@@ -224,7 +228,7 @@ def encode_texts(v: Vocabulary, texts: list[str], keys: np.ndarray, dropout: flo
             parts.append((rows, m))
     for k in np.flatnonzero(~strange & (length > widest)):
         with np.errstate(over="ignore"):
-            got = _merge_heap(v, ids[begin[k] : begin[k] + length[k]].tolist(), int(key[k]), limit)
+            got = _merge_heap(v, ids[begin[k] : begin[k] + length[k]], int(key[k]), limit)
         made[k] = len(got)
         parts.append((np.array([k]), np.array([got], np.int32)))
     place = np.concatenate([[0], np.cumsum(made)])
