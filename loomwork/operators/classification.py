@@ -86,6 +86,10 @@ class NaiveBayesModel(Model, _BayesParams):
         return out.drop(*[c for c in out.columns if c.startswith("__t")])
 
 
+#: Different (label, feature, value) that a naive Bayes model can hold; checked before they reach the driver.
+MOST_VALUES = 2_000_000
+
+
 class NaiveBayes(Estimator, _BayesParams, HasLabelCol):
     """Categorical naive Bayes from counts of (label, feature, value), combined before the shuffle."""
 
@@ -96,7 +100,13 @@ class NaiveBayes(Estimator, _BayesParams, HasLabelCol):
         d = V.dimension(df, v)
         if df.where(y != F.floor(y)).limit(1).count():
             raise ValueError("labels must be whole numbers")
-        counts = df.select(y.alias("l"), F.posexplode(v).alias("i", "x")).select("l", "i", (F.col("x") + 0.0).alias("x")).groupBy("l", "i", "x").count().collect()
+        counts = made = df.select(y.alias("l"), F.posexplode(v).alias("i", "x")).select("l", "i", (F.col("x") + 0.0).alias("x")).groupBy("l", "i", "x").count().persist()
+        try:
+            if (most := counts.count()) > MOST_VALUES:
+                raise ValueError(f"{most} different values of features and labels; a model holds at most {MOST_VALUES}: are the features categories?")
+            counts = counts.collect()
+        finally:
+            made.unpersist()
         labels = sorted({r.l for r in counts})
         n = {k: sum(r["count"] for r in counts if r.l == k and r.i == 0) for k in labels}
         kinds: list[set[float]] = [set() for _ in range(d)]

@@ -10,6 +10,8 @@ from ..core import vectors as V
 from ..core.params import HasLabelCol, HasRawPredictionCol, HasWeightCol, Param, is_subset
 from ..core.stage import AlgoOperator
 
+#: Records of one score and weight whose precision is added up one by one; the others follow from a formula.
+FEW = 64
 METRICS = ("areaUnderROC", "areaUnderPR", "areaUnderLorenz", "ks")
 
 
@@ -61,5 +63,10 @@ class BinaryClassificationEvaluator(AlgoOperator, HasLabelCol, HasRawPredictionC
             return F.max(F.abs(rate(end_tp) - fall(end_fp)))
         # precision bends along a run of like records: each is a trapezoid of its own
         precision = lambda a, b: F.when(a + b > 0, a / (a + b)).otherwise(1.0)
-        one = F.transform(F.sequence(F.lit(1).cast("long"), c), lambda k: (precision(tp + p * (k - 1), fp + n * (k - 1)) + precision(tp + p * k, fp + n * k)) / 2)
-        return F.sum(F.when((p > 0) & (big_p > 0), p / big_p * F.aggregate(one, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0))
+        few = F.least(c, F.lit(FEW).cast("long"))
+        one = F.transform(F.sequence(F.lit(1).cast("long"), few), lambda k: (precision(tp + p * (k - 1), fp + n * (k - 1)) + precision(tp + p * k, fp + n * k)) / 2)
+        # a positive record adds nothing to fp, so beyond the first ones the trapezoids of 1 - fp / (x + k p) have a closed form
+        # (Euler-Maclaurin; its next term is below 1e-13 of the whole)
+        low, high = tp + fp + p * few, tp + fp + p * c
+        rest = (c - few) - fp * (F.log(high / low) / p + p / 12 * (1 / (low * low) - 1 / (high * high)) - p * p * p / 120 * (F.pow(low, -4) - F.pow(high, -4)))
+        return F.sum(F.when((p > 0) & (big_p > 0), p / big_p * (F.aggregate(one, F.lit(0.0), lambda a, x: a + x) + F.when(c > few, rest).otherwise(0.0))).otherwise(0.0))

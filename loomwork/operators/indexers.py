@@ -22,6 +22,8 @@ from .text import counted
 LITERAL = 2000
 #: Up to so many rows that table is broadcast, whatever Spark estimates.
 BROADCAST = 200_000
+#: Distinct values of a column that a model can hold; checked before they reach the driver.
+MOST = 5_000_000
 
 
 def as_string(df: DataFrame, name: str) -> Column:
@@ -72,7 +74,13 @@ class StringIndexer(Estimator, _StringIndexerParams):
             counts = df.select(as_string(df, c).alias("v")).where("v is not null").groupBy("v").count()
             if order == "frequencyDesc" and self.max_index_num < 2**31 - 1:
                 counts = counts.orderBy(F.desc("count"), "v").limit(self.max_index_num - 1)
-            rows = [(r["v"], r["count"]) for r in counts.collect()]  # the model itself: the distinct values
+            counts = counts.persist()
+            try:
+                if (n := counts.count()) > MOST:
+                    raise ValueError(f"{c} has {n} distinct values; a model holds at most {MOST} (see max_index_num)")
+                rows = [(r["v"], r["count"]) for r in counts.collect()]  # the model itself: the distinct values
+            finally:
+                counts.unpersist()
             key = {"frequencyDesc": lambda r: (-r[1], r[0]), "frequencyAsc": lambda r: (r[1], r[0])}.get(order, lambda r: r[0])
             rows.sort(key=key, reverse=order == "alphabetDesc")
             out.append([v for v, _ in rows])
@@ -88,9 +96,14 @@ class IndexToStringModel(Model, HasInputCols, HasOutputCols):
         cols = {}
         for c, o, words in zip(self.get("input_cols"), self.get("output_cols"), self.need()["stringArrays"], strict=True):
             at = F.col(c).cast("int")
-            found = F.get(F.array(*[F.lit(w) for w in words]), at) if words else F.lit(None).cast("string")
+            if len(words) > LITERAL:
+                rows = df.sparkSession.createDataFrame(list(enumerate(words)), f"__at_{o} int, __word_{o} string")
+                df = df.join(F.broadcast(rows) if len(words) <= BROADCAST else rows, at == F.col(f"__at_{o}"), "left").drop(f"__at_{o}")
+                found = F.col(f"__word_{o}")
+            else:
+                found = F.get(F.array(*[F.lit(w) for w in words]), at) if words else F.lit(None).cast("string")
             cols[o] = F.when((at >= 0) & (at < len(words)), found).otherwise(F.raise_error(F.concat(F.lit(f"{c}: no such index: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))))
-        return df.withColumns(cols)
+        return df.withColumns(cols).drop(*[f"__word_{o}" for o in self.get("output_cols")])
 
 
 class _OneHotParams(HasInputCols, HasOutputCols, HasHandleInvalid):

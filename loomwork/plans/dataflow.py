@@ -20,7 +20,7 @@ def map_partition(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[
 
 
 def reduce_all(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Reduces all rows to one with an associative ``f``: first each partition, then the partitions' rows in one task.
+    """Reduces all rows to one with an associative ``f``: first each partition, then the one row of each in one task.
 
     Empty partitions give nothing; an empty input gives an empty result.
     """
@@ -33,7 +33,7 @@ def reduce_all(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame]) -> Data
         if held is not None:
             yield held
 
-    return df.mapInPandas(part, df.schema).coalesce(1).mapInPandas(part, df.schema)
+    return df.mapInPandas(part, df.schema).repartition(1).mapInPandas(part, df.schema)
 
 
 def reduce_keyed(df: DataFrame, key: str, f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
@@ -52,7 +52,7 @@ def aggregate(df: DataFrame, create: Callable[[], A], add: Callable[[A, pd.DataF
         yield pd.DataFrame({"acc": [cloudpickle.dumps(acc)]})
 
     acc = create()
-    for r in df.mapInPandas(part, "acc binary").toLocalIterator():
+    for r in df.mapInPandas(part, "acc binary").collect():  # one row per partition, computed side by side
         acc = merge(acc, cloudpickle.loads(bytes(r.acc)))
     return result(acc)
 

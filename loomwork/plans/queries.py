@@ -543,6 +543,27 @@ def co_group(spark: SparkSession, d: str) -> DataFrame:
     return D.co_group(load(spark, d, "customer").select("c_nationkey"), load(spark, d, "supplier").select("s_nationkey"), "c_nationkey", "s_nationkey", both, "nation long, customers long, suppliers long")
 
 
+@query("select max(o_totalprice) as high, min(o_totalprice) as low from orders")
+def reduce(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "orders").select(F.col("o_totalprice").alias("high"), F.col("o_totalprice").alias("low"))
+    return D.reduce_all(rows, lambda f: f.iloc[:1].assign(high=f["high"].max(), low=f["low"].min()))
+
+
+@query("select c_nationkey::bigint as nation, max(c_acctbal) as best from customer group by 1")
+def reduce_by_key(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_acctbal").alias("best"))
+    return D.reduce_keyed(rows, "nation", lambda f: f.iloc[:1].assign(best=f["best"].max()))
+
+
+@query("select o_orderkey::bigint as o_orderkey, length(o_orderstatus)::bigint as n from orders")
+def map_partition(spark: SparkSession, d: str) -> DataFrame:
+    def sizes(frames):
+        for f in frames:
+            yield f.assign(n=f["o_orderstatus"].str.len())[["o_orderkey", "n"]]
+
+    return D.map_partition(load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus"), sizes, "o_orderkey long, n long")
+
+
 @query()
 def sample(spark: SparkSession, d: str) -> DataFrame:
     return D.sample(load(spark, d, "orders").select("o_orderkey"), 100, 5)

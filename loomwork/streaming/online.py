@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -37,16 +38,27 @@ class ModelStore:
         text = self.spark.range(1).select(F.lit(json.dumps(record)).alias("value"))
         text.coalesce(1).write.mode("overwrite").text(f"{self.path}/batch={batch_id}")
 
+    def batches(self) -> list[int]:
+        """Ids of the batches stored so far, ascending, from the names of the files."""
+        try:
+            files = self.spark.read.text(self.path).inputFiles()
+        except AnalysisException:  # no batch was stored yet
+            return []
+        return sorted({int(name.rsplit("/batch=", 1)[1].split("/")[0]) for name in files if "/batch=" in name})
+
+    def get(self, batch_id: int) -> dict[str, Any]:
+        return json.loads(self.spark.read.text(f"{self.path}/batch={batch_id}").first()[0]) | {"batch_id": batch_id}
+
     def all(self) -> list[dict[str, Any]]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+        if not self.batches():
             return []
         rows = self.spark.read.text(self.path).select("batch", "value").collect()
         return [json.loads(r.value) | {"batch_id": r.batch} for r in sorted(rows, key=lambda r: r.batch)]
 
     def before(self, batch_id: int) -> dict[str, Any] | None:
-        held = [r for r in self.all() if r["batch_id"] < batch_id]
-        return held[-1] if held else None
+        """The record of the last batch before; no other file is read."""
+        held = [b for b in self.batches() if b < batch_id]
+        return self.get(held[-1]) if held else None
 
 
 class CountBatchLearner(Estimator, HasGlobalBatchSize, HasBatchStrategy):
@@ -266,24 +278,34 @@ class OnlineStandardScaler(Estimator, _StandardParams, HasModelVersion):
         return made.with_versions(self.versions(df).persist())
 
     def fit_stream(self, stream: DataFrame, store: ModelStore, checkpoint: str, **trigger: Any) -> StreamingQuery:
-        """Learns from a stream by event time windows: each micro-batch adds its windows' sums; a window later than the batch's last stays open."""
+        """Learns from a stream by event time windows: each micro-batch adds its windows' sums, and its last window stays open.
+
+        A row of a window that was closed before is late: it changes no version, so that their timestamps ascend, and is
+        counted in the record's ``late``.
+        """
 
         def learn(df: DataFrame, batch_id: int) -> None:
-            last = store.before(batch_id) or {"open": {}, "total": None, "version": -1}
+            last = store.before(batch_id) or {"open": {}, "total": None, "version": -1, "closed": "", "late": 0}
+            closed, late = last["closed"], last["late"]
             open_: dict[str, list] = dict(last["open"])
             rows = self.windows.assign(df, self.time_col).select("__window", "__end", F.posexplode(V.dense(df, self.input_col)).alias("i", "x"))
             sums = rows.groupBy("__window", "__end", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
             for r in sums.orderBy("__window", "i").collect():  # a few numbers per window
-                at = open_.setdefault(f"{r['__window']:020d}", [r["__end"], {}])
+                name = f"{r['__window']:020d}"
+                if name <= closed:
+                    late += r.n if r.i == 0 else 0
+                    continue
+                at = open_.setdefault(name, [r["__end"], {}])
                 s, q, n = at[1].get(str(r.i), (0.0, 0.0, 0))
                 at[1][str(r.i)] = (s + r.s, q + r.q, n + r.n)
             total, version, made = last["total"], last["version"], []
             for name in sorted(open_)[:-1]:
                 end, parts = open_.pop(name)
+                closed = name
                 total = {i: [a + b for a, b in zip(total[i], p, strict=True)] for i, p in parts.items()} if total else {i: list(p) for i, p in parts.items()}
                 version += 1
                 made.append(self._version(total, version, end))
-            store.put(batch_id, {"open": open_, "total": total, "version": version, "made": made})
+            store.put(batch_id, {"open": open_, "total": total, "version": version, "made": made, "closed": closed, "late": late})
 
         return CountBatchLearner._start(stream, learn, checkpoint, trigger)
 
