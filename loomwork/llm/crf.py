@@ -58,13 +58,8 @@ class Chain:
     step: np.ndarray
 
 
-def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
-
-
-def forward_backward(emit: np.ndarray, sizes: np.ndarray, step: np.ndarray, pairs: bool = False):
-    """P(good) of each line of documents laid end to end, all documents at once; with ``pairs``, also log Z and the expected steps.
+def forward_backward(emit: np.ndarray, sizes: np.ndarray, step: np.ndarray, weight: np.ndarray | None = None):
+    """P(good) of each line of documents laid end to end, all documents at once; with a ``weight`` for each, also log Z and the weighted sum of expected steps.
 
     Documents are ordered by length, so that those still running are a prefix at every position.
     """
@@ -88,34 +83,44 @@ def forward_backward(emit: np.ndarray, sizes: np.ndarray, step: np.ndarray, pair
         at = start[:k] + t
         after = back[at + 1] + np.stack([np.zeros(k), emit[at + 1]], axis=1)
         back[at] = np.logaddexp(step[:, 0][None] + after[:, :1], step[:, 1][None] + after[:, 1:])
-        if pairs:
+        if weight is not None:
             both = ahead[at][:, :, None] + step[None] + after[:, None, :] - log_z[:k, None, None]
-            expected += np.exp(both).sum(axis=0)
+            expected += (np.exp(both) * weight[order[:k], None, None]).sum(axis=0)
     both = ahead + back
     good = 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500)))
-    return (good, log_z, expected) if pairs else good
+    return good if weight is None else (good, log_z[np.argsort(order)], expected)
+
+
+def objective(theta: np.ndarray, x: np.ndarray, sizes: np.ndarray, good: np.ndarray, reg: float = 1e-4) -> tuple[float, np.ndarray]:
+    """Conditional log-likelihood a line, as a mean over documents, less the penalty; and its gradient.
+
+    Every line carries its document's label.  A document's log-likelihood is divided by its lines, its emissions and
+    transitions alike, so a long document weighs as much as a short one.
+    """
+    weight = 1 / sizes / len(sizes)
+    emit, step = x @ theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
+    p, log_z, expected = forward_backward(emit, sizes, step, weight)
+    label, each = np.repeat(good, sizes), np.repeat(weight, sizes)
+    stays = np.array([(weight * (sizes - 1) * (1 - good)).sum(), (weight * (sizes - 1) * good).sum()])
+    value = (emit * label * each).sum() + stays @ step.diagonal() - (weight * log_z).sum() - reg / 2 * (theta**2).sum()
+    return value, np.concatenate([x.T @ ((label - p) * each), (np.diag(stays) - expected).ravel()]) - reg * theta
 
 
 def train_chain(docs: list[np.ndarray], good: np.ndarray, rounds: int = 250, reg: float = 1e-4, rate: float = 0.15) -> Chain:
-    """Maximise the conditional likelihood (Adam); every line carries its document's label, and a document weighs as one."""
-    emit, step = np.zeros(WIDTH), np.zeros((2, 2))
+    """Maximise the objective (Adam)."""
     if not docs:
-        return Chain(emit, step)
-    sizes = np.array([len(d) for d in docs])
-    x, label = np.vstack(docs), np.repeat(good.astype(float), sizes)
-    weight = np.repeat(1 / sizes, sizes)
-    stays = np.array([[((sizes - 1) * (1 - good)).sum(), 0], [0, ((sizes - 1) * good).sum()]], float)
+        return Chain(np.zeros(WIDTH), np.zeros((2, 2)))
+    sizes, x = np.array([len(d) for d in docs]), np.vstack(docs)
     theta, m, v = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
     for t in range(1, rounds + 1):
-        p, _, expected = forward_backward(x @ theta[:WIDTH], sizes, theta[WIDTH:].reshape(2, 2), pairs=True)
-        grad = np.concatenate([x.T @ ((label - p) * weight) / len(docs), ((stays - expected) / sizes.sum()).ravel()]) - reg * theta
+        _, grad = objective(theta, x, sizes, good.astype(float), reg)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Chain(theta[:WIDTH], theta[WIDTH:].reshape(2, 2))
 
 
 def score_texts(chain: Chain, texts: list[str]) -> np.ndarray:
-    """The mean probability of a good line, each line weighing its length plus one byte."""
+    """The mean probability of a good line, each line weighing its characters plus one."""
     if not texts:
         return np.zeros(0)
     docs = [line_features(t) for t in texts]

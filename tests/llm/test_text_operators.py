@@ -51,6 +51,25 @@ def test_forward_backward():
         assert np.allclose(got[a:z], slow_marginals(emit[a:z], step))
 
 
+def test_gradient():
+    """The training step follows the stated likelihood: its gradient is that of finite differences, and log Z is the sum over all labellings."""
+    r = np.random.default_rng(1)
+    sizes, good = np.array([2, 5, 1, 4]), np.array([1.0, 0.0, 1.0, 0.0])
+    x, theta = r.normal(size=(sizes.sum(), crf.WIDTH)), r.normal(size=crf.WIDTH + 4) * 0.3
+    value, grad = crf.objective(theta, x, sizes, good)
+    for k in (0, 7, crf.WIDTH - 1, *range(crf.WIDTH, crf.WIDTH + 4)):
+        h = np.zeros_like(theta)
+        h[k] = 1e-5
+        assert abs((crf.objective(theta + h, x, sizes, good)[0] - crf.objective(theta - h, x, sizes, good)[0]) / 2e-5 - grad[k]) < 1e-6
+    emit, step, at, want = x @ theta[: crf.WIDTH], theta[crf.WIDTH :].reshape(2, 2), 0, 0.0
+    for n, y in zip(sizes, good.astype(int), strict=True):
+        path = lambda z, e: sum(a for a, b in zip(e, z, strict=True) if b) + sum(step[a][b] for a, b in zip(z, z[1:], strict=False))
+        e = emit[at : at + n]
+        every = math.log(sum(math.exp(path([c >> i & 1 for i in range(n)], e)) for c in range(1 << n)))
+        want, at = want + (path([y] * n, e) - every) / n / len(sizes), at + n
+    assert abs(value + 1e-4 / 2 * (theta**2).sum() - want) < 1e-9
+
+
 def test_quality(spark, messy, empty):
     docs = [(k, "\n".join((prose if k % 3 else bad)(EN, 15) for _ in range(6))) for k in range(300)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
