@@ -94,8 +94,9 @@ def notices(files: DataFrame, key_cols: list[str], text: Column, threshold: floa
     entries = [(k, name, t, float(w), weight[t]) for k, ((name, _), v) in enumerate(zip(TEMPLATES, vectors, strict=True)) for t, w in v.items()]
     table = inline(spark, "template, name, term, w, idf", entries)  # some 300 rows, whatever the input
     terms = inline(spark, "term, idf", [(t, weight[t]) for t in VOCABULARY])
-    lines = rows.where(F.arrays_overlap("words", anchor)).select(*key_cols, F.explode(F.split("text", "\n")).alias("line"))
-    lines = cut(lines.select(*key_cols, "line", tokens(F.col("line")).alias("words")).where(F.arrays_overlap("words", anchor)).select(*key_cols, F.array_join("words", " ").alias("line")))
+    lines = rows.where(F.arrays_overlap("words", anchor)).select(*key_cols, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.select(*key_cols, "pos", tokens(F.col("line")).alias("words")).where(F.arrays_overlap("words", anchor)).select(*key_cols, "pos", F.array_join("words", " ").alias("line"))
+    lines = cut(lines.distinct())  # a row that is stored twice has each of its lines once
     tf = lines.select("line").distinct().select("line", F.explode(F.split("line", " ")).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
     norm = tf.join(F.broadcast(terms), "term").groupBy("line").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
     dot = tf.join(F.broadcast(table), "term").groupBy("line", "template", "name").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
@@ -147,7 +148,15 @@ def _values() -> str:
     return ", ".join(f"({k}, '{name}', '{t}', {n})" for k, ((name, _), terms) in enumerate(zip(TEMPLATES, _TERMS, strict=True)) for t, n in sorted(terms.items()))
 
 
-#: The same scores in DuckDB over every line of ``documents``, without anchors.
+def query_path() -> Column:
+    """Paths for ``documents``, which has none: folders by source and id; every seventh file is a licence file of one of three levels."""
+    top, mid, low = F.col("source"), (F.col("doc_id") % 4).cast("string"), (F.col("doc_id") % 16).cast("string")
+    folder = F.when(F.col("doc_id") % 3 == 0, top).when(F.col("doc_id") % 3 == 1, F.concat_ws("/", top, mid)).otherwise(F.concat_ws("/", top, mid, low))
+    plain = F.concat_ws("/", top, mid, low, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return F.when(F.col("doc_id") % 7 == 0, F.concat(folder, F.lit("/LICENSE."), F.col("doc_id").cast("string"))).otherwise(plain)
+
+
+#: The same scores in DuckDB over every line of ``documents``, without anchors, and the nearest folder above of the three levels.
 ORACLE_SQL = rf"""
 with tpl(k, name, term, n) as (values {_values()}),
 docs as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') w from documents),
@@ -161,6 +170,10 @@ nv as (select i, sqrt(sum((tf * idf) ** 2)) norm from tf join idf using (term) g
 dot as (select doc_id, i, k, name, sum(tf * idf * v) d from tf join idf using (term) join tv using (term) group by all),
 sc as (select doc_id, i, name, round(d / nv.norm / tn.norm, 6) s from dot join nv using (i) join tn using (k)),
 line as (select doc_id, i, max({{'s': s, 'name': name}}) b from sc where s >= {THRESHOLD} group by all),
-best as (select doc_id, max(b) b, count(*) n from line group by 1)
-select d.doc_id, best.b.name as license, best.b.s as similarity, coalesce(best.n, 0) as n_notices, case when best.n is null then 'none' else 'notice' end as origin from documents d left join best using (doc_id)
+best as (select doc_id, max(b) b, count(*) n from line group by 1),
+files as (select doc_id, best.b, best.n, source || '' top, source || '/' || (doc_id % 4) mid, source || '/' || (doc_id % 4) || '/' || (doc_id % 16) low, doc_id % 7 = 0 lic, doc_id % 3 lev from documents left join best using (doc_id)),
+own as (select case when lic and lev = 0 then top when lic and lev = 1 then mid else low end dir, * from files),
+held as (select dir, max(b).name name from own where lic and b is not null group by 1),
+up as (select own.*, coalesce(case when own.dir = own.low then l.name end, case when own.dir <> own.top then m.name end, t.name) above from own left join held l on l.dir = own.low left join held m on m.dir = own.mid left join held t on t.dir = own.top)
+select doc_id, coalesce(b.name, above) as license, b.s as similarity, coalesce(n, 0) as n_notices, case when n is not null then 'notice' when above is not null then 'inherited' else 'none' end as origin from up
 """

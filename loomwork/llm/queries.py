@@ -28,8 +28,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat_ws("/", F.col("source"), F.col("doc_id").cast("string"))
-    return licenses.scan(table(spark, sf_dir, "documents"), path=path).drop("path")
+    return licenses.scan(table(spark, sf_dir, "documents"), path=licenses.query_path()).drop("path")
 
 
 def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

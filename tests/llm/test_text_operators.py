@@ -277,6 +277,8 @@ def test_licences(spark, messy, empty):
         1: ("Apache-2.0", "notice"), 2: ("Apache-2.0", "inherited"), 3: ("MIT", "notice"), 4: ("GPL-3.0", "notice"), 5: ("GPL-3.0", "inherited"), 6: (None, "none"),
         7: (None, "none"), 8: ("MIT", "notice"), 9: ("GPL-3.0", "notice"), 10: ("Apache-2.0", "inherited"), 11: ("GPL-3.0", "notice"),
     }
+    twice = licenses.scan(frame.unionByName(frame), path=F.col("path")).collect()
+    assert len(twice) == 2 * len(files) and {r.n_notices for r in twice} == {0, 1}
     odd = licenses.scan(messy, path=F.col("source")).collect()
     assert len(odd) == messy.count() and {r.origin for r in odd} == {"none"} and licenses.scan(empty).count() == 0
 
