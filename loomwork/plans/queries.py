@@ -6,7 +6,7 @@ Numbers are rounded in both, and ``+ 0.0`` makes a negative zero a zero.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,7 +122,7 @@ def vector_functions(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def random_splitter(spark: SparkSession, d: str) -> DataFrame:
     parts = O.RandomSplitter(weights=[3.0, 1.0], seed=7).transform(load(spark, d, "lineitem").select(*KEY))
-    return reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(k)) for k, p in enumerate(parts)])
+    return fold(DataFrame.unionByName, [p.withColumn("part", F.lit(k)) for k, p in enumerate(parts)])
 
 
 # Text.

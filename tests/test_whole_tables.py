@@ -20,3 +20,11 @@ def test_knn_predicts_every_row(spark):
         kinds, n = np.unique(y[np.argsort(np.round(((x - v) ** 2).sum(axis=1), 9), kind="stable")[:5]], return_counts=True)
         want[r.vec_id] = kinds[n.argmax()]
     assert {r.vec_id: r.prediction for r in queries.knn_all(spark, SF).collect()} == want
+
+
+def test_random_splitter_keeps_every_row(spark):
+    rows = queries.load(spark, SF, "lineitem").select(*queries.KEY).collect()
+    got = queries.QUERIES["random_splitter"](spark, SF).collect()
+    assert sorted((r.l_orderkey, r.l_linenumber) for r in got) == sorted(map(tuple, rows))
+    share = sum(r.part == 0 for r in got) / len(got)
+    assert {r.part for r in got} == {0, 1} and 0.7 < share < 0.8
