@@ -12,12 +12,16 @@ from .common import among, cut, maybe_in, stash
 
 #: An index key that more lines share than this is split by further segments of what it leaves open.
 CROWD = 32
+#: The same where more than one edit is allowed: each level of segments then multiplies the keys of near copies by three, and
+#: the pairs of one key, within the edits in length, are fewer.
+CROWD_EDITS = 4096
 #: Candidate pairs for each task that verifies some.
 PAIRS = 20_000
 Steps = tuple[tuple[int, int], ...]
-#: Edits within which two lines are near copies, from so many characters of the shorter one on.  More than one edit is exact
-#: too, but a crowd of lines that share long passages is then cut further in very many ways (some n**edits for n characters).
-STEPS: Steps = ((20, 1),)
+#: Characters whose counts tell most pairs of a key apart: an edit changes two of them by one.
+COUNTED = "etaoinshrdlucmfwygpbvkjxqz ,.0123456789#*$%&|<>"
+#: Edits within which two lines are near copies, from so many characters of the shorter one on.
+STEPS: Steps = ((20, 1), (40, 2), (60, 3))
 #: Lines without such a character (blank ones) always stay.
 INK = r"[^\x20\x09-\x0D]"
 
@@ -211,7 +215,8 @@ def later_lines(lines: DataFrame, steps: Steps) -> DataFrame:
     if they are two; combined before the shuffle, so a key of a third of all lines costs no more than another.  Only the
     lines of fuller keys are looked up again.  There, each line is first compared with the earliest of its key: one pair a
     line, which settles most of a group of near copies.  Lines still open meet all earlier ones of the key, unless they
-    are more than ``CROWD`` (a template): then the lines take part again with what the segment leaves open, cut into
+    are more than ``CROWD`` (a template), or ``CROWD_EDITS`` where several edits are allowed, when only lines of nearly one
+    length and with nearly the same characters are paired: then the lines take part again with what the segment leaves open, cut into
     segments in turn, under a key that the old one is hashed into.  A pair within the threshold also meets there, since
     its edits all lie in the open rest.  So the keys of a crowd narrow down, level by level, to lines that agree in all
     but a few characters.
@@ -232,16 +237,22 @@ def later_lines(lines: DataFrame, steps: Steps) -> DataFrame:
             break
         met = cut(maybe_in(keyed, F.col("key"), busy, "key").join(busy, "key").select("key", "held", "id", "base", "edits", "probe", "at", "size"))
         if pool is None:
-            pool = stash(among(long.select("id", "line", "n", place), F.col("id"), met, "id"))
+            counts = F.array(*[(F.char_length("line") - F.char_length(F.replace("line", F.lit(c), F.lit("")))) for c in COUNTED]).alias("counts")
+            pool = stash(among(long.select("id", "line", "n", place), F.col("id"), met, "id").select("*", counts))
         met = met.join(pool.select("id", "place"), "id")
         met = cut(met.join(met.groupBy("key").agg(F.min(F.struct("place", "id")).alias("low")).select("key", F.col("low.id").alias("low")), "key"))
         new = _near(met.where("id <> low").select(F.col("low").alias("r"), F.col("id").alias("s")).distinct(), pool, steps)
         gone = cut(new if gone is None else gone.unionByName(new).distinct())
         asks = met.where("id <> low").join(gone, "id", "left_anti")
-        x = asks.where(F.col("held") <= CROWD).select("key", F.col("id").alias("r"), F.col("place").alias("px"), F.col("probe").alias("bx"))
-        y = met.where(F.col("held") <= CROWD).select("key", F.col("id").alias("s"), F.col("place").alias("py"), F.col("probe").alias("by"))
-        pairs.append(cut(x.join(y, "key").where("px > py and not (bx and by)").select("r", "s").distinct()))
-        many = met.join(asks.where(F.col("held") > CROWD).select("key").distinct(), "key", "left_semi").select("key", "id", "base", "edits", "at", "size")
+        few = F.col("held") <= F.when(F.col("edits") > 1, max(CROWD, CROWD_EDITS)).otherwise(CROWD)
+        # lines of a key meet by length, too: in one cell of twice the edits, or in the one beside it
+        cell = lambda more: F.floor((F.col("n") + more) / (2 * F.col("edits"))).alias("cell")
+        apart = reduce(Column.__add__, [F.abs(F.get("cx", i) - F.get("cy", i)) for i in range(len(COUNTED))])
+        told = pool.select("id", "n", "counts")
+        x = asks.where(few).join(told, "id").select("key", F.col("counts").alias("cx"), F.col("id").alias("r"), F.col("place").alias("px"), F.col("probe").alias("bx"), F.col("n").alias("nx"), "edits", F.explode(F.array_distinct(F.array(cell(-F.col("edits")), cell(F.col("edits"))))).alias("cell"))
+        y = met.where(few).join(told, "id").select("key", F.col("counts").alias("cy"), F.col("id").alias("s"), F.col("place").alias("py"), F.col("probe").alias("by"), F.col("n").alias("ny"), cell(F.lit(0)))
+        pairs.append(cut(x.join(y, ["key", "cell"]).where((F.col("px") > F.col("py")) & ~(F.col("bx") & F.col("by")) & (F.abs(F.col("nx") - F.col("ny")) <= F.col("edits")) & (apart <= 2 * F.col("edits"))).select("r", "s").distinct()))
+        many = met.join(asks.where(~few).select("key").distinct(), "key", "left_semi").select("key", "id", "base", "edits", "at", "size")
         texts = rows.withColumnRenamed("base", "_base") if "edits" not in rows.columns else rows.drop("edits").withColumnRenamed("base", "_base")
         texts = maybe_in(texts, F.col("id"), many.select("id").distinct(), "id")
         rest = F.concat(F.substring("text", F.lit(1), F.col("at").cast("int")), F.substring("text", (F.col("at") + F.col("size") + 1).cast("int"), F.col("n")))

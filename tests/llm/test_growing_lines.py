@@ -63,3 +63,29 @@ def test_query_and_stage(spark, tmp_path):
     assert [r.text for r in corpus_pipeline.line_dedup(spark, docs, "").orderBy("doc_id").collect()] == [long, "", "short line", "\nother"]
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.n_kept for r in queries.op3_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == [1, 0, 1, 2]
+
+
+def test_query_allows_more_edits_in_longer_lines(spark, tmp_path):
+    a = "a line of more than forty characters, for two edits"
+    b = "and here is a still longer line of more than sixty characters, for three edits"
+    rows = [(1, f"{a}\n{b}"), (2, a.replace("forty", "fourti")), (3, b.replace("still", "stll").replace("sixty", "sixtyes")), (4, a.replace("forty", "fifteen"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.n_kept for r in queries.op3_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == [2, 0, 0, 1]
+
+
+@pytest.mark.parametrize("crowd", [4096, 8])
+def test_crowd_of_near_copies(spark, monkeypatch, crowd):
+    """Copies of one long line with words put in, most of them too far apart; crowds paired by length and characters, or cut further."""
+    monkeypatch.setattr(linededup, "CROWD", 8)
+    monkeypatch.setattr(linededup, "CROWD_EDITS", crowd)
+    rng = random.Random(8)
+    base = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(14))
+    lines = []
+    for _ in range(45):
+        at = rng.randrange(len(base))
+        lines.append(base[:at] + "".join(rng.choice("xyz&") for _ in range(rng.randrange(2, 6))) + base[at:])
+    lines += [changed(rng, x, rng.randrange(1, 4)) for x in lines[:15]]
+    lines = list(dict.fromkeys(lines))
+    rng.shuffle(lines)
+    want = brute_later(lines, GROWING)
+    assert later(spark, lines, GROWING) == want and 0 < len(want) < len(lines)
