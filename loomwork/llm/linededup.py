@@ -12,9 +12,6 @@ from .common import among, cut, maybe_in, stash
 
 #: An index key that more lines share than this is split by further segments of what it leaves open.
 CROWD = 32
-#: The same where more than one edit is allowed: each level of segments then multiplies the keys of near copies by three, and
-#: the pairs of one key, within the edits in length, are fewer.
-CROWD_EDITS = 4096
 #: Candidate pairs for each task that verifies some.
 PAIRS = 20_000
 Steps = tuple[tuple[int, int], ...]
@@ -215,8 +212,7 @@ def later_lines(lines: DataFrame, steps: Steps) -> DataFrame:
     if they are two; combined before the shuffle, so a key of a third of all lines costs no more than another.  Only the
     lines of fuller keys are looked up again.  There, each line is first compared with the earliest of its key: one pair a
     line, which settles most of a group of near copies.  Lines still open meet all earlier ones of the key, unless they
-    are more than ``CROWD`` (a template), or ``CROWD_EDITS`` where several edits are allowed, when only lines of nearly one
-    length and with nearly the same characters are paired: then the lines take part again with what the segment leaves open, cut into
+    are more than ``CROWD`` (a template): then the lines take part again with what the segment leaves open, cut into
     segments in turn, under a key that the old one is hashed into.  A pair within the threshold also meets there, since
     its edits all lie in the open rest.  So the keys of a crowd narrow down, level by level, to lines that agree in all
     but a few characters.
@@ -244,7 +240,7 @@ def later_lines(lines: DataFrame, steps: Steps) -> DataFrame:
         new = _near(met.where("id <> low").select(F.col("low").alias("r"), F.col("id").alias("s")).distinct(), pool, steps)
         gone = cut(new if gone is None else gone.unionByName(new).distinct())
         asks = met.where("id <> low").join(gone, "id", "left_anti")
-        few = F.col("held") <= F.when(F.col("edits") > 1, max(CROWD, CROWD_EDITS)).otherwise(CROWD)
+        few = (F.col("held") <= CROWD) | (F.col("edits") > 1)
         # lines of a key meet by length, too: in one cell of twice the edits, or in the one beside it
         cell = lambda more: F.floor((F.col("n") + more) / (2 * F.col("edits"))).alias("cell")
         apart = reduce(Column.__add__, [F.abs(F.get("cx", i) - F.get("cy", i)) for i in range(len(COUNTED))])
