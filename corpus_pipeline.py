@@ -23,7 +23,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more: the one with the smallest id."""
+    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more: the one with the smallest id.
+
+    SimHash links within four bits come first; prefix filtering adds those that lie further apart.
+    """
     return similar.keep_one(docs)
 
 

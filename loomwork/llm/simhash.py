@@ -60,7 +60,7 @@ def covering_masks(radius: int, family: int = 0) -> list[int]:
     every one.  ``family`` permutes the bits, for independent families of the same guarantee.
     """
     size = (1 << (radius + 1)) - 1
-    order = [(i * (1, 5, 27, 45)[family] + 11 * family) % BITS for i in range(BITS)]
+    order = [(i * (1, 5, 27, 45, 13)[family] + 11 * family) % BITS for i in range(BITS)]
     vector = {bit: k % size + 1 for k, bit in enumerate(order)}
     return [sum(1 << i for i in range(BITS) if (vector[i] & v).bit_count() & 1) for v in range(1, size + 1)]
 
@@ -136,12 +136,14 @@ def covering_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """Edges ``u, v`` that connect the distinct fingerprints ``fp`` of ``nodes`` exactly as all links within ``radius`` do.
 
     Every node enters 2**(radius+1)-1 buckets.  A bucket yields a spanning forest of its verified links, never its pairs.
-    One with more than BUCKET members is dealt out again under a further mask family; after four families at most 12
-    bits are left free, so no bucket can pass 4096 and nothing is capped.
+    One with more than BUCKET members is dealt out again under a further mask family; after four families (five for a
+    radius of 4) at most 12 bits are left free, so no bucket can pass 4096 and nothing is capped.
     """
+    if radius not in (3, 4):
+        raise ValueError("the mask families are proven for a radius of 3 or 4")
     size = (1 << (radius + 1)) - 1
     work, edges = nodes.select("fp", F.lit(0).alias("t")), None
-    for level in range(LEVELS):
+    for level in range(LEVELS + radius - 3):
         mask = F.lit(0).cast("long")
         for k in range(level + 1):  # the digits of t in base ``size`` tell the mask chosen at each level
             family = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius, k)])
