@@ -124,39 +124,34 @@ def _class(n: Column, steps: Steps) -> Column:
     """The least length of n's class: classes are quarters of octaves, cut where a step begins."""
     out = n - n % F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(n.cast("long"))) - 3, F.lit(0)))
     for least, _ in steps:
-        out = F.when(n >= least, F.greatest(out, F.lit(least))).otherwise(out)
-    return out
-
-
-def _cells(n: Column, steps: Steps) -> list[Column]:
-    """Length classes (times 64, plus the edits) in which a line of n characters takes part: its own, and those of lines shorter by the edits allowed."""
-    out = []
-    for d in range(max(k for _, k in steps) + 1):
-        k = _edits(n - d, steps)
-        out.append(F.when((k >= d) & (k > 0), _class(n - d, steps) * 64 + k))
+        out = F.greatest(out, F.when(n >= least, least).otherwise(0))  # mentions itself once, else the code doubles with each step
     return out
 
 
 def _keyed(rows: DataFrame, steps: Steps) -> DataFrame:
     """``id, base, edits, key, probe, at, size``: the keys of lines ``id, base, text, n``, and the places of their segments.
 
-    A key is the hash of base, length class, segment and what stands there.  A pair meets in the class of the shorter
-    line, which sets the size of its segments.
+    A key is the hash of base, length class, segment and what stands there.  A line takes part in its own length class and
+    in those of lines shorter by the edits allowed.  A pair meets in the class of the shorter line, which sets the size of
+    its segments.
+
+    Classes, then segments, are dealt out as rows, each with one short expression: one expression for all of them is a
+    method of more code than Java compiles.
     """
-    n, cell = F.col("n").cast("long"), F.col("cell")
-    rows = rows.withColumn("cells", F.array_distinct(F.array(*_cells(n, steps))))
-    rows = rows.select("id", "base", "text", "n", F.explode("cells").alias("cell")).where("cell is not null")
-    length, keys = F.call_function("shiftright", cell, F.lit(6)), F.lit(None)
+    n, m, most = F.col("n").cast("long"), F.col("n") - F.col("less"), max(k for _, k in steps)
+    less = F.when(n - _class(n, steps) >= most, F.lit([0])).otherwise(F.lit(list(range(most + 1))))
+    rows = rows.select("id", "base", "text", n.alias("n"), F.explode(less).alias("less")).withColumn("edits", _edits(m, steps))
+    rows = rows.where((F.col("edits") > 0) & (F.col("edits") >= F.col("less")) & ((F.col("less") == 0) | (_class(m + 1, steps) == m + 1)))
+    spots = F.lit(None)
     for k in sorted({k for _, k in steps}):
-        size, spots = F.call_function("div", length - (k - 1), F.lit(k + 1)), []
-        for right, j, t in _end_spots(k):
-            at = n - (j + 1) * size - t if right else j * size + t
-            key = F.xxhash64("base", length, F.lit(2 * j + right), F.substring("text", (at + 1).cast("int"), size.cast("int")))
-            spots.append(F.when((at >= 0) & (at + size <= n), F.struct(key.alias("key"), F.lit(t != 0).alias("probe"), at.alias("at"), size.alias("size"))))
-        keys = F.when(cell % 64 == k, F.array(*spots)).otherwise(keys)
-    # an array column of its own and a filter after: inside the generator, or compacted by a lambda, nothing would be compiled
-    rows = rows.withColumn("k", keys).select("id", "base", (cell % 64).alias("edits"), F.explode("k").alias("k"))
-    return rows.where("k is not null").select("id", "base", "edits", "k.*")
+        spots = F.when(F.col("edits") == k, F.lit([((right * 64 + j) << 8) + t + 64 for right, j, t in _end_spots(k)])).otherwise(spots)
+    rows = rows.select("id", "base", "text", "n", "edits", _class(m, steps).alias("length"), spots.alias("spots"))
+    rows = rows.select("id", "base", "text", "n", "edits", "length", F.call_function("div", F.col("length") - F.col("edits") + 1, F.col("edits") + 1).alias("size"), F.explode("spots").alias("spot"))
+    t, j, right = F.col("spot") % 256 - 64, F.call_function("shiftright", "spot", F.lit(8)) % 64, F.call_function("shiftright", "spot", F.lit(14))
+    rows = rows.withColumn("at", F.when(right == 1, F.col("n") - (j + 1) * F.col("size") - t).otherwise(j * F.col("size") + t))
+    rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
+    key = F.xxhash64("base", "length", 2 * j + right, F.substring("text", (F.col("at") + 1).cast("int"), F.col("size").cast("int")))
+    return rows.select("id", "base", F.col("edits").cast("long").alias("edits"), key.alias("key"), (t != 0).alias("probe"), "at", "size")
 
 
 def _keyed_rests(rows: DataFrame, kinds: list[int]) -> DataFrame:
@@ -205,6 +200,28 @@ def _near(pairs: DataFrame, texts: DataFrame, steps: Steps) -> DataFrame:
     return met.where(near).select(F.when(F.col("place_r") > F.col("place_s"), F.col("r")).otherwise(F.col("s")).alias("id")).distinct()
 
 
+def _meetings(asks: DataFrame, met: DataFrame, pool: DataFrame) -> DataFrame:
+    """Pairs ``r, s`` of lines that share a key and may be near: each line of ``asks`` with all earlier ones of ``met``, once for each number of edits.
+
+    Both have ``key, id, edits, probe, place``; ``pool`` has ``id, n, counts``.  Lines of a key meet by length, in one cell
+    of twice the edits or in the one beside it.  Two lines that share several keys meet under the least of them.
+    """
+    cell = lambda more: F.floor((F.col("n") + more) / (2 * F.col("edits"))).alias("cell")
+    apart = reduce(Column.__add__, [F.abs(F.get("cx", i) - F.get("cy", i)) for i in range(len(COUNTED))])
+    mine = met.groupBy("id", "edits").agg(F.collect_set("key").alias("all"), F.collect_set(F.when(~F.col("probe"), F.col("key"))).alias("own"))
+    told = cut(mine.join(pool.select("id", "n", "counts"), "id"))
+    least = F.array_min(F.array_union(F.array_intersect("ownx", "ally"), F.array_intersect("allx", "owny")))
+
+    def side(rows: DataFrame, line: str, name: str, cells: Column) -> DataFrame:
+        named = {"id": line, "place": f"p{name}", "probe": f"b{name}", "n": f"n{name}", "counts": f"c{name}", "all": f"all{name}", "own": f"own{name}"}
+        return rows.join(told, ["id", "edits"]).select("key", "edits", *[F.col(c).alias(x) for c, x in named.items()], cells)
+
+    x = side(asks, "r", "x", F.explode(F.array_distinct(F.array(cell(-F.col("edits")), cell(F.col("edits"))))).alias("cell"))
+    y = side(met, "s", "y", cell(F.lit(0))).drop("edits")
+    may = (F.col("px") > F.col("py")) & ~(F.col("bx") & F.col("by")) & (F.abs(F.col("nx") - F.col("ny")) <= F.col("edits"))
+    return x.join(y, ["key", "cell"]).where(may & (apart <= 2 * F.col("edits")) & (least == F.col("key"))).select("r", "s")
+
+
 def later_lines(lines: DataFrame, steps: Steps) -> DataFrame:
     """``id`` of every line of the line table that is near one whose first occurrence came before.
 
@@ -241,13 +258,7 @@ def later_lines(lines: DataFrame, steps: Steps) -> DataFrame:
         gone = cut(new if gone is None else gone.unionByName(new).distinct())
         asks = met.where("id <> low").join(gone, "id", "left_anti")
         few = (F.col("held") <= CROWD) | (F.col("edits") > 1)
-        # lines of a key meet by length, too: in one cell of twice the edits, or in the one beside it
-        cell = lambda more: F.floor((F.col("n") + more) / (2 * F.col("edits"))).alias("cell")
-        apart = reduce(Column.__add__, [F.abs(F.get("cx", i) - F.get("cy", i)) for i in range(len(COUNTED))])
-        told = pool.select("id", "n", "counts")
-        x = asks.where(few).join(told, "id").select("key", F.col("counts").alias("cx"), F.col("id").alias("r"), F.col("place").alias("px"), F.col("probe").alias("bx"), F.col("n").alias("nx"), "edits", F.explode(F.array_distinct(F.array(cell(-F.col("edits")), cell(F.col("edits"))))).alias("cell"))
-        y = met.where(few).join(told, "id").select("key", F.col("counts").alias("cy"), F.col("id").alias("s"), F.col("place").alias("py"), F.col("probe").alias("by"), F.col("n").alias("ny"), cell(F.lit(0)))
-        pairs.append(cut(x.join(y, ["key", "cell"]).where((F.col("px") > F.col("py")) & ~(F.col("bx") & F.col("by")) & (F.abs(F.col("nx") - F.col("ny")) <= F.col("edits")) & (apart <= 2 * F.col("edits"))).select("r", "s").distinct()))
+        pairs.append(cut(_meetings(asks.where(few), met.where(few), pool)))
         many = met.join(asks.where(~few).select("key").distinct(), "key", "left_semi").select("key", "id", "base", "edits", "at", "size")
         texts = rows.withColumnRenamed("base", "_base") if "edits" not in rows.columns else rows.drop("edits").withColumnRenamed("base", "_base")
         texts = maybe_in(texts, F.col("id"), many.select("id").distinct(), "id")

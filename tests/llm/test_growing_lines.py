@@ -87,3 +87,30 @@ def test_crowd_of_near_copies(spark, monkeypatch):
     rng.shuffle(lines)
     want = brute_later(lines, GROWING)
     assert later(spark, lines, GROWING) == want and 0 < len(want) < len(lines)
+
+
+def test_keys_compile(spark):
+    """No method of the generated code is too long for Java to compile (8000 bytes): as one expression, the keys of up to three edits were."""
+    lines = spark.createDataFrame([(1, 0, "some words " * 9, 99)], "id long, base long, text string, n int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = linededup._keyed(lines, GROWING).selectExpr("sum(key)", "max(at)")._jdf.queryExecution().executedPlan()
+        parts = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenStringSeq(plan)
+        sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and 0 < max(sizes) < 8000
+
+
+def test_pairs_meet_under_one_key(spark):
+    """Lines of a template share several keys; each pair is made once."""
+    rng = random.Random(3)
+    base = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(14))
+    lines = list(dict.fromkeys(changed(rng, base, rng.randrange(1, 3)) for _ in range(40)))
+    frame = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "id long, line string, n int")
+    keyed = linededup._keyed(frame.selectExpr("id", "0L as base", "line as text", "n"), GROWING).join(frame.selectExpr("id", "id as place"), "id")
+    pool = frame.selectExpr("id", "n", f"array_repeat(0, {len(linededup.COUNTED)}) as counts")
+    got = [(r.r, r.s, r.edits) for r in linededup._meetings(keyed, keyed, pool).selectExpr("r", "s", "3 as edits").collect()]
+    assert len(got) == len(set(got)) > 0
+    near = {(j, i) for j in range(len(lines)) for i in range(j) if lev(lines[i], lines[j]) <= 3}
+    assert near <= {(r, s) for r, s, _ in got}
