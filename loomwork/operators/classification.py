@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import vectors as V
 from ..core.params import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasRawPredictionCol, Param, gt, gt_eq, in_array, not_null
 from ..core.stage import Estimator, Model
-from ..functions.distance import pairwise
 from .linear import SGDParams, descend, dot_with, hinge_loss, logistic_loss
 
 
@@ -128,6 +129,8 @@ class _KnnParams(HasFeaturesCol, HasPredictionCol):
 #: Numbers of training data that are broadcast at most; larger sets are compared block by block on the executors.
 BROADCAST_NUMBERS = 4_000_000
 _BLOCK = 4096
+_ASKED = 512  # queries that meet a block at once: 16 MB of products
+_AT_ONCE = 1 << 15  # pairs whose distances are taken at once
 
 
 def _vote(labels: np.ndarray) -> float:
@@ -136,6 +139,91 @@ def _vote(labels: np.ndarray) -> float:
     return float(kinds[n.argmax()])
 
 
+def _matrix(v: pa.Array) -> np.ndarray:
+    """The rows of a list column; vectors must be there and of one size."""
+    d = pc.list_value_length(v)
+    if v.null_count or pc.min(d) != pc.max(d):
+        raise ValueError("vectors must not be null and must have one size")
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+class _Best:
+    """The ``k`` nearest of the training rows seen so far, of each row of ``x``; of equal distances those with the least ``at``."""
+
+    def __init__(self, x: np.ndarray, k: int):
+        self.x, self.k, self.square = x, k, (x * x).sum(axis=1)
+        self.d, self.at, self.y = np.full((len(x), k), np.inf), np.full((len(x), k), 2**63 - 1), np.zeros((len(x), k))
+
+    def meet(self, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> None:
+        square = (x * x).sum(axis=1)
+        sure = np.isfinite(square).all()
+        turned = np.ascontiguousarray(x.T)
+        for a in range(0, len(self.x), _ASKED):
+            asked, own = self.x[a : a + _ASKED], self.square[a : a + _ASKED]
+            if sure and np.isfinite(own).all():
+                # |x|^2 - 2xy of a product is exact up to ``slack``; what may be among the k best is measured again
+                near = asked @ turned
+                near *= -2.0
+                near += square
+                slack = 16 * (x.shape[1] + 4) * np.finfo(float).eps * (own + square.max())
+                worst = self.d[a : a + _ASKED, -1] ** 2
+                fresh = np.isinf(worst)
+                if fresh.any() and len(x) > self.k:
+                    worst[fresh] = np.partition(near[fresh], self.k - 1, axis=1)[:, self.k - 1] + own[fresh] + slack[fresh]
+                q, t = np.nonzero(near <= (worst - own + slack)[:, None])
+            else:
+                q, t = (i.ravel() for i in np.indices((len(asked), len(x))))
+            if len(q):
+                self._take(q + a, t, x, at, y)
+
+    def _take(self, q: np.ndarray, t: np.ndarray, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> None:
+        d = np.empty(len(q))
+        for a in range(0, len(q), _AT_ONCE):
+            diff = self.x[q[a : a + _AT_ONCE]] - x[t[a : a + _AT_ONCE]]
+            d[a : a + _AT_ONCE] = np.sqrt((diff * diff).sum(axis=1))
+        self.merge(q, d, at[t], y[t])
+
+    def merge(self, q: np.ndarray, d: np.ndarray, at: np.ndarray, y: np.ndarray) -> None:
+        rows = np.unique(q)
+        q = np.concatenate([np.repeat(rows, self.k), q])
+        d, at, y = (np.concatenate([held[rows].ravel(), new]) for held, new in ((self.d, d), (self.at, at), (self.y, y)))
+        order = np.lexsort((at, d, q))
+        first = np.searchsorted(q[order], rows)
+        kept = order[(first[:, None] + np.arange(self.k)).ravel()]
+        for held, new in ((self.d, d), (self.at, at), (self.y, y)):
+            held[rows] = new[kept].reshape(-1, self.k)
+
+    def votes(self) -> np.ndarray:
+        return np.array([_vote(y[t < 2**63 - 1]) if t[0] < 2**63 - 1 else np.nan for y, t in zip(self.y, self.at, strict=True)])
+
+
+def _training_blocks(rows: DataFrame, k: int) -> DataFrame:
+    """Blocks of rows as bytes: ``at``, ``x``, ``y``.  Of equal vectors in a block only the ``k`` earliest can be among the k best."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, len(b), _BLOCK):
+                at, v, y = (b.slice(a, _BLOCK).column(c) for c in range(3))
+                at, x, y = at.to_numpy(zero_copy_only=False), _matrix(v).astype(float), y.to_numpy(zero_copy_only=False).astype(float)
+                order = np.argsort(at, kind="stable")
+                at, x, y = at[order], np.ascontiguousarray(x[order]), y[order]
+                if x.shape[1]:
+                    same = np.unique(x.view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True)[1].ravel()
+                    order = np.argsort(same, kind="stable")
+                    start = np.concatenate([[0], np.flatnonzero(np.diff(same[order])) + 1])
+                    place = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
+                    kept = np.sort(order[place < k])
+                    at, x, y = at[kept], x[kept], y[kept]
+                yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()) for z in (at, x, y)], names=["at", "x", "y"])
+
+    return rows.select("at", "x", "y").mapInArrow(pack, "at binary, x binary, y binary")
+
+
+def _block(at: bytes, x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, y = np.frombuffer(at, np.int64), np.frombuffer(y)
+    return np.frombuffer(x).reshape(len(at), -1), at, y
+
+
 class KnnModel(Model, _KnnParams):
     """Majority vote of the nearest training rows by Euclidean distance; of equal distances the earlier row counts.
 
@@ -162,41 +250,57 @@ class KnnModel(Model, _KnnParams):
         return row.select(F.transform("r", lambda e: e["x"]).alias("packedFeatures"), F.transform("r", lambda e: square(e["x"])).alias("featureNormSquares"), F.transform("r", lambda e: e["y"]).alias("labels"))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        k = self.k
+        k, train = self.k, _training_blocks(self.rows, self.k)
         if self.numbers <= BROADCAST_NUMBERS:
-            train = self.rows.orderBy("at").collect()
-            held = df.sparkSession.sparkContext.broadcast((np.array([r.x for r in train], float), np.array([r.y for r in train], float)))
+            held = df.sparkSession.sparkContext.broadcast([(bytes(r.at), bytes(r.x), bytes(r.y)) for r in train.collect()])
 
-            @F.pandas_udf("double")
-            def nearest(v: pd.Series) -> pd.Series:
-                x, y = held.value
+            @F.arrow_udf("double")
+            def nearest(v: pa.Array) -> pa.Array:
                 out = []
-                step = max(1, min(_BLOCK, (1 << 21) // max(1, len(x))))  # 16 MB of distances at once
-                for a in range(0, len(v), step):
-                    dist = pairwise("euclidean", np.array(v.iloc[a : a + step].tolist(), float), x)
-                    out += [_vote(y[np.argsort(row, kind="stable")[:k]]) for row in dist]
-                return pd.Series(out)
+                for a in range(0, len(v), _BLOCK):
+                    best = _Best(_matrix(v.slice(a, _BLOCK)), k)
+                    for block in held.value:
+                        best.meet(*_block(*block))
+                    out.append(best.votes())
+                return pa.array(np.concatenate(out) if out else np.zeros(0))
 
             return df.withColumn(self.prediction_col, nearest(V.dense(df, self.features_col)))
         queries = df.withColumn("__q", F.monotonically_increasing_id()).persist()
-        blocks = self.rows.withColumn("b", F.floor(F.col("at") / _BLOCK)).groupBy("b").agg(F.collect_list(F.struct("at", "x", "y")).alias("train"))
-        asked = queries.select("__q", V.dense(queries, self.features_col).alias("v")).withColumn("g", F.floor(F.monotonically_increasing_id() / _BLOCK)).groupBy("g").agg(F.collect_list(F.struct("__q", "v")).alias("asked"))
-
-        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for asked_, train in zip(frame["asked"], frame["train"], strict=True):
-                    x, y, at = (np.array([r[c] for r in train]) for c in ("x", "y", "at"))
-                    order = np.argsort(at)
-                    x, y, at = np.stack(x[order]).astype(float), y[order], at[order]
-                    dist = pairwise("euclidean", np.array([list(r["v"]) for r in asked_], float), x)
-                    for r, row in zip(asked_, dist, strict=True):
-                        take = np.argsort(row, kind="stable")[:k]
-                        yield pd.DataFrame({"__q": r["__q"], "d": row[take], "at": at[take], "y": y[take]})
-
-        near = asked.crossJoin(blocks).mapInPandas(best, "__q long, d double, at long, y double")  # a stated set of queries against all rows, in blocks
-        top = near.groupBy("__q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "at", "y"))), 1, k).alias("t"))
-        votes = top.select(F.col("__q").alias("q"), F.explode("t.y").alias("y")).groupBy("q", "y").agg(F.count("*").alias("n")).groupBy("q").agg(F.max(F.struct("n", (-F.col("y")).alias("m"))).alias("b"))
-        return queries.join(votes, F.col("__q") == F.col("q")).withColumn(self.prediction_col, -F.col("b.m")).drop("__q", "q", "b")
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for a in range(0, len(b), _BLOCK):
+                    q, v = (b.slice(a, _BLOCK).column(c) for c in range(2))
+                    yield pa.RecordBatch.from_arrays([pa.array([q[0].as_py()]), *[pa.array([z.tobytes()], pa.binary()) for z in (q.to_numpy(), _matrix(v))]], names=["g", "q", "v"])
+
+        asked = queries.select("__q", V.dense(queries, self.features_col).alias("v")).mapInArrow(pack, "g long, q binary, v binary")
+        # few blocks a partition, so that the pairs of blocks spread over the cores
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        blocks = train.select(F.col("at").alias("t"), "x", "y").repartition(max(1, self.numbers // BROADCAST_NUMBERS))
+        asked = asked.repartition(4 * cores, "g")
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple[bytes, _Best]] = {}  # the k best of the queries of this partition
+            for b in batches:
+                for g, q, v, t, x, y in zip(*(b.column(c) for c in ("g", "q", "v", "t", "x", "y")), strict=True):
+                    if (key := g.as_py()) not in held:
+                        q = q.as_py()
+                        held[key] = q, _Best(np.frombuffer(v.as_py()).reshape(len(q) // 8, -1), k)
+                    held[key][1].meet(*_block(t.as_py(), x.as_py(), y.as_py()))
+            for g, (q, made) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([g]), *[pa.array([z], pa.binary()) for z in (q, made.d.tobytes(), made.at.tobytes(), made.y.tobytes())]], names=["g", "q", "d", "t", "y"])
+
+        near = asked.crossJoin(blocks).mapInArrow(best, "g long, q binary, d binary, t binary, y binary")  # a stated set of queries against all rows, in blocks
+
+        def final(frame: pd.DataFrame) -> pd.DataFrame:
+            q = np.frombuffer(frame["q"].iloc[0], np.int64)
+            made = _Best(np.zeros((len(q), 0)), k)
+            for d, t, y in zip(frame["d"], frame["t"], frame["y"], strict=True):
+                made.merge(np.repeat(np.arange(len(q)), k), np.frombuffer(d), np.frombuffer(t, np.int64), np.frombuffer(y))
+            return pd.DataFrame({"q": q, "p": made.votes()})
+
+        votes = near.groupBy("g").applyInPandas(final, "q long, p double")
+        return queries.join(votes, F.col("__q") == F.col("q")).withColumn(self.prediction_col, F.col("p")).drop("__q", "q", "p")
 
 
 class Knn(Estimator, _KnnParams, HasLabelCol):
