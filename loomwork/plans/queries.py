@@ -360,14 +360,14 @@ def naive_bayes(spark: SparkSession, d: str) -> DataFrame:
 @query("with q as (select vec_id, embedding::double[64] e from embeddings where vec_id < 50), d as (select q.vec_id, t.label, row_number() over (partition by q.vec_id order by round(array_distance(q.e, t.embedding::double[64]), 12), t.vec_id) k from q, embeddings t), v as (select vec_id, label, count(*) n from d where k <= 5 group by all) select vec_id, label::double as prediction from v qualify row_number() over (partition by vec_id order by n desc, label) = 1")
 def knn(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "embeddings").withColumnRenamed("embedding", "features")
-    return O.Knn(k=5).fit(df.orderBy("vec_id").coalesce(1)).transform(df.where("vec_id < 50")).select("vec_id", "prediction")
+    return O.Knn(k=5).fit(df.orderBy("vec_id")).transform(df.where("vec_id < 50")).select("vec_id", "prediction")
 
 
 @query()
 def knn_all(spark: SparkSession, d: str) -> DataFrame:
     """Every row of embeddings; the SQL of ``knn`` asks for the first 50 only."""
     df = load(spark, d, "embeddings").withColumnRenamed("embedding", "features")
-    return O.Knn(k=5).fit(df.orderBy("vec_id").coalesce(1)).transform(df).select("vec_id", "prediction")
+    return O.Knn(k=5).fit(df.orderBy("vec_id")).transform(df).select("vec_id", "prediction")
 
 
 def _kmeans_sql(rounds: int) -> str:

@@ -34,3 +34,12 @@ def test_neighbours_of_equal_vectors(spark, monkeypatch):
     x, y = np.array([r.features for r in rows]), np.array([r.label for r in rows])
     near = np.argsort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1, kind="stable")[:, :3]
     assert got == {r.id: C._vote(y[near[k]]) for k, r in enumerate(rows)}
+
+
+def test_training_rows_stay_spread(spark, monkeypatch):
+    """The query sorts its training rows in ranges, not in one task."""
+    plans, fit = [], O.Knn.fit
+    monkeypatch.setattr(O.Knn, "fit", lambda self, df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), fit(self, df))[1])
+    for name in ("knn", "knn_all"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("Repartition 1," in p for p in plans)
