@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import math
+import pickle
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.errors import AnalysisException
@@ -21,7 +24,6 @@ from ..functions.distance import pairwise
 from ..operators.classification import LogisticRegressionModel
 from ..operators.clustering import KMeansModel, KMeansModelParams
 from ..operators.scalers import _StandardParams
-from ..plans.dataflow import batches
 from .windows import GlobalWindows, Window, millis
 
 
@@ -69,7 +71,7 @@ class CountBatchLearner(Estimator, HasGlobalBatchSize, HasBatchStrategy):
     def initial(self) -> dict[str, Any]:
         raise NotImplementedError
 
-    def update(self, state: dict[str, Any], rows: list[tuple]) -> dict[str, Any]:
+    def update(self, state: dict[str, Any], x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, Any]:
         raise NotImplementedError
 
     def rows_of(self, df: DataFrame) -> DataFrame:
@@ -79,27 +81,61 @@ class CountBatchLearner(Estimator, HasGlobalBatchSize, HasBatchStrategy):
     def made(self, state: dict[str, Any], version: int) -> Model:
         raise NotImplementedError
 
+    def _learnt(self, df: DataFrame, every: bool) -> tuple[list[dict[str, Any]], int]:
+        """The states after the full batches of a bounded input, in order (the last alone, if not ``every``), and their number.
+
+        A batch needs the state that the one before it left, so one task after the other learns from its range of the sorted
+        rows.  Between them go the state and the rows of an incomplete batch; no other row leaves its task.
+        """
+        rows = self.rows_of(df).withColumn("__seq", F.col(self.order_col) if self.order_col else F.monotonically_increasing_id())
+        order = ["__seq", "__tie"]
+        ranges = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select("x", "y", "w").persist()
+        state, left, out, n = self.initial(), pickle.dumps([]), [], 0
+        try:
+            for part in range(ranges.rdd.getNumPartitions()):
+                made = ranges.mapInArrow(self._range_learner(state, left, every), "state string, n long, rest binary").rdd
+                *states, last = df.sparkSession.sparkContext.runJob(made, list, [part])
+                out += [json.loads(r.state) for r in states]
+                state, n, left = json.loads(last.state), n + last.n, bytes(last.rest)
+        finally:
+            ranges.unpersist()
+        return (out if every else [state][: min(n, 1)]), n
+
+    def _range_learner(self, state: dict[str, Any], left: bytes, every: bool) -> Any:
+        size, update = self.global_batch_size, self.update
+
+        def learn(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def row(s: dict[str, Any], n: int, rest: bytes) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([json.dumps(s)]), pa.array([n], pa.int64()), pa.array([rest], pa.binary())], names=["state", "n", "rest"])
+
+            now, n, held = state, 0, pickle.loads(left)  # held: pieces of the batch to come
+            count = sum(len(y) for _, y, _ in held)
+            for b in frames:
+                v, y, w = (b.column(c) for c in range(3))
+                if v.null_count or len(pc.unique(pc.list_value_length(v))) > 1:
+                    raise ValueError("vectors must not be null and must have one size")
+                x, at = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1), 0
+                y, w = (c.to_numpy(zero_copy_only=False) for c in (y, w))
+                while at < len(y):
+                    end = min(len(y), at + size - count)
+                    held.append((x[at:end], y[at:end], w[at:end]))
+                    count, at = count + end - at, end
+                    if count == size:
+                        now, n, held, count = update(now, *map(np.concatenate, zip(*held, strict=True))), n + 1, [], 0
+                        if every:
+                            yield row(now, 0, b"")
+            yield row(now, n, pickle.dumps([tuple(map(np.ascontiguousarray, h)) for h in held]))
+
+        return learn
+
     def fit_versions(self, df: DataFrame) -> list[Model]:
         """The model after each full batch of a bounded input, in order."""
-        rows = self.rows_of(df).withColumn("__seq", F.col(self.order_col) if self.order_col else F.monotonically_increasing_id())
-        cut = batches(rows.withColumn("__tie", F.monotonically_increasing_id()), [F.col("__seq"), F.col("__tie")], self.global_batch_size)
-        state, out, held, at = self.initial(), [], [], None
-        for r in cut.orderBy("batch", "__seq", "__tie").toLocalIterator():  # one batch is held at a time
-            if at is not None and r.batch != at:
-                state = self.update(state, held)
-                out.append(self.made(state, len(out)))
-                held = []
-            at = r.batch
-            held.append((r.x, r.y, r.w))
-        if held:
-            state = self.update(state, held)
-            out.append(self.made(state, len(out)))
-        return out
+        return [self.made(state, version) for version, state in enumerate(self._learnt(df, True)[0])]
 
     def fit(self, df: DataFrame) -> Model:
         """The last version; the initial model if there is no full batch."""
-        versions = self.fit_versions(df)
-        return versions[-1] if versions else self.made(self.initial(), 0)
+        states, n = self._learnt(df, False)
+        return self.made(states[-1], n - 1) if states else self.made(self.initial(), 0)
 
     def fit_stream(self, stream: DataFrame, store: ModelStore, checkpoint: str, **trigger: Any) -> StreamingQuery:
         """Learns from a stream; every micro-batch stores the versions it gave, the state and the rows left over."""
@@ -111,12 +147,16 @@ class CountBatchLearner(Estimator, HasGlobalBatchSize, HasBatchStrategy):
             for r in self.rows_of(df).toLocalIterator():
                 held.append((list(r.x), r.y, r.w))
                 if len(held) == size:
-                    state, version, held = self.update(state, held), version + 1, []
+                    state, version, held = self.update(state, *self._arrays(held)), version + 1, []
                     made.append({"version": version, "state": state})
             store.put(batch_id, {"state": state, "left": held, "version": version, "made": made})
 
         return self._start(stream, learn, checkpoint, trigger)
 
+    @staticmethod
+    def _arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+
     @staticmethod
     def _start(stream: DataFrame, learn: Any, checkpoint: str, trigger: dict[str, Any]) -> StreamingQuery:
         return stream.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -142,15 +182,15 @@ class OnlineKMeans(CountBatchLearner, KMeansModelParams, HasDecayFactor, HasSeed
         centroids, weights = self.get("initial_model")
         return {"centroids": [list(map(float, c)) for c in centroids], "weights": [float(w) for w in weights]}
 
-    def update(self, state: dict[str, Any], rows: list[tuple]) -> dict[str, Any]:
-        x, c, w = np.array([r[0] for r in rows], float), np.array(state["centroids"]), np.array(state["weights"]) * self.decay_factor
+    def update(self, state: dict[str, Any], x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, Any]:
+        c, weights = np.array(state["centroids"]), np.array(state["weights"]) * self.decay_factor
         at = pairwise(self.distance_measure, x, c).argmin(axis=1)
         for k in range(len(c)):
             mine = x[at == k]
             if len(mine):
-                c[k] = (c[k] * w[k] + mine.sum(axis=0)) / (w[k] + len(mine))
-                w[k] += len(mine)
-        return {"centroids": c.tolist(), "weights": w.tolist()}
+                c[k] = (c[k] * weights[k] + mine.sum(axis=0)) / (weights[k] + len(mine))
+                weights[k] += len(mine)
+        return {"centroids": c.tolist(), "weights": weights.tolist()}
 
     def made(self, state: dict[str, Any], version: int) -> OnlineKMeansModel:
         return self.model(OnlineKMeansModel(), **state)
@@ -184,9 +224,8 @@ class OnlineLogisticRegression(CountBatchLearner, _OnlineLRModelParams, HasLabel
         coef = [float(c) for c in self.get("initial_model")]
         return {"coef": coef, "z": [0.0] * len(coef), "n": [0.0] * len(coef)}
 
-    def update(self, state: dict[str, Any], rows: list[tuple]) -> dict[str, Any]:
+    def update(self, state: dict[str, Any], x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, Any]:
         """A sparse row counts with its weight only where it has entries, a dense one with 1 everywhere; the gradient has no weights."""
-        x, y, w = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         coef, z, n = (np.array(state[k]) for k in ("coef", "z", "n"))
         slope = 1 / (1 + np.exp(-np.clip(x @ coef, -700, 700))) - y
         total = np.where(w[:, None] == 0, 1.0, (x != 0) * w[:, None]).sum(axis=0)

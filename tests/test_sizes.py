@@ -43,3 +43,25 @@ def test_training_rows_stay_spread(spark, monkeypatch):
     for name in ("knn", "knn_all"):
         QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(plans) == 2 and not any("Repartition 1," in p for p in plans)
+
+
+def _learns_in_tasks(spark, monkeypatch, learner, label):
+    """The versions that row by row learning gives, without rows on the driver; batches cross the ranges."""
+    from pyspark.sql import DataFrame
+
+    df = spark.range(0, 5000, 1, 7).select("id", F.array(F.rand(1), F.rand(2)).alias("features"), F.when(F.rand(3) > 0.5, 1.0).otherwise(0.0).alias("label")).persist()
+    rows = df.orderBy("id").collect()
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a: 1 / 0)
+    made = learner.fit_versions(df)
+    state = learner.initial()
+    for k in range(16):
+        part = rows[300 * k : 300 * k + 300]
+        state = learner.update(state, *learner._arrays([(r.features, r.label, 0.0) for r in part]))
+        assert made[k].need()[label] == state[{"coefficient": "coef"}.get(label, label)]
+    assert len(made) == 16 and learner.fit(df).need()[label] == made[-1].need()[label]
+
+
+def test_online_kmeans_in_tasks(spark, monkeypatch):
+    from loomwork.streaming.online import OnlineKMeans
+
+    _learns_in_tasks(spark, monkeypatch, OnlineKMeans(k=2, initial_model=([[0.2, 0.2], [0.7, 0.9]], [0.0, 0.0]), global_batch_size=300, order_col="id"), "centroids")
