@@ -65,3 +65,9 @@ def test_online_kmeans_in_tasks(spark, monkeypatch):
     from loomwork.streaming.online import OnlineKMeans
 
     _learns_in_tasks(spark, monkeypatch, OnlineKMeans(k=2, initial_model=([[0.2, 0.2], [0.7, 0.9]], [0.0, 0.0]), global_batch_size=300, order_col="id"), "centroids")
+
+
+def test_online_logistic_regression_in_tasks(spark, monkeypatch):
+    from loomwork.streaming.online import OnlineLogisticRegression
+
+    _learns_in_tasks(spark, monkeypatch, OnlineLogisticRegression(initial_model=[0.0, 0.0], global_batch_size=300, order_col="id", reg=0.01), "coefficient")
