@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +13,68 @@ from ..core.params import HasOutputCol, HasSeed, Param, gt, gt_eq, not_null
 from ..core.stage import AlgoOperator
 
 
+_COLUMNS = 2048  # items that are dense at once
+_USERS = 1000  # users that meet all others at once
+_RARE = 16  # an item of fewer users is counted by its pairs
+
+
+def _item_scores(item: int, w: np.ndarray, held: pa.Array, alpha2: float) -> tuple[np.ndarray, np.ndarray]:
+    """The other items and their scores, from the weights and the items of the users of an item.
+
+    Of two users that share n > 1 items each shared one gets w * w / (alpha2 + n).  n is a product of the users' 0/1 rows,
+    and the sum for an item one of that matrix; items of few of the users go by their cells or pair by pair.
+    """
+    lengths = pc.list_value_length(held).to_numpy(zero_copy_only=False)
+    user = np.repeat(np.arange(len(w)), lengths)
+    kinds, at, n = np.unique(held.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    order = np.lexsort((user, at))
+    user, start = user[order], np.concatenate([[0], np.cumsum(n)])
+    common = np.flatnonzero((n >= _RARE) & (4 * n >= len(w)))
+    between = [(k, user[start[k] : start[k + 1]]) for k in np.flatnonzero((n >= _RARE) & (4 * n < len(w)))]
+    # pairs a < b of the users of rare items
+    pa_, pb_, pc_ = [], [], []
+    for c in range(2, _RARE):
+        which = np.flatnonzero(n == c)
+        if len(which):
+            of = user[start[which][:, None] + np.arange(c)]
+            i, j = np.triu_indices(c, 1)
+            pa_.append(of[:, i].ravel()), pb_.append(of[:, j].ravel()), pc_.append(np.repeat(which, len(i)))
+    a, b, col = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pa_, pb_, pc_))
+    order = np.argsort(a, kind="stable")
+    a, b, col = a[order], b[order], col[order]
+
+    def dense(columns: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(w), len(columns)), np.float32)  # counts below 2^24 are exact
+        for k, c in enumerate(columns):
+            out[user[start[c] : start[c + 1]], k] = 1
+        return out
+
+    cut = [common[k : k + _COLUMNS] for k in range(0, len(common), _COLUMNS)]
+    once = dense(cut[0]) if len(cut) == 1 else None
+    total = np.zeros(len(kinds))
+    for low in range(0, len(w), _USERS):
+        rows = slice(low, min(len(w), low + _USERS))
+        shared = np.zeros((rows.stop - low, len(w)), np.float32)
+        for columns in cut:
+            m = dense(columns) if once is None else once
+            shared += m[rows] @ m.T
+        cells = [(k, np.ix_(u[(u >= low) & (u < rows.stop)] - low, u)) for k, u in between]
+        for _, at in cells:
+            shared[at] += 1
+        mine = slice(*np.searchsorted(a, [low, rows.stop]))
+        np.add.at(shared, (a[mine] - low, b[mine]), 1)
+        counts = (shared > 1) & (np.arange(len(w))[None] > np.arange(low, rows.stop)[:, None])
+        c = np.where(counts, w[rows, None] * w[None] / np.where(counts, alpha2 + shared.astype(float), 1), 0.0)
+        for columns in cut:
+            m = (dense(columns) if once is None else once).astype(float)
+            total[columns] += np.einsum("ij,ij->j", m[rows], c @ m)
+        for k, at in cells:
+            total[k] += c[at].sum()
+        np.add.at(total, col[mine], c[a[mine] - low, b[mine]])
+    met = (total > 0) & (kinds != item)  # weights are positive
+    return kinds[met], total[met]
+
+
 class Swing(AlgoOperator, HasOutputCol, HasSeed):
     """Items that pairs of users have in common: the fewer such a pair shares, the more each shared item counts.
 
@@ -44,18 +109,17 @@ class Swing(AlgoOperator, HasOutputCol, HasSeed):
         if crowded:
             ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.xxhash64("u", F.lit(self.actual_seed())), "u")))
             kept = ranked.where(F.col("r") <= self.max_user_num_per_item).select("u", "i", "w")
-        # pairs of users that meet at an item
-        a, b = kept.select(F.col("u").alias("a"), "i", F.col("w").alias("wa")), kept.select(F.col("u").alias("b"), "i", F.col("w").alias("wb"))
-        pairs = a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.collect_list("i").alias("at"), (F.first("wa") * F.first("wb")).alias("w"))
-        if crowded:  # two users may share items at which one of them was not drawn
-            items = rows.groupBy("u").agg(F.collect_set("i").alias("items"))  # at most max_user_behavior
-            pairs = pairs.join(items.select(F.col("u").alias("a"), F.col("items").alias("ia")), "a").join(items.select(F.col("u").alias("b"), F.col("items").alias("ib")), "b")
-            pairs = pairs.select("at", "w", F.array_intersect("ia", "ib").alias("shared"))
-        else:
-            pairs = pairs.select("at", "w", F.col("at").alias("shared"))
-        pairs = pairs.where(F.size("shared") > 1)
-        score = F.col("w") / (self.alpha2 + F.size("shared"))
-        return pairs.select(score.alias("s"), F.explode("at").alias("item"), "shared").select("s", "item", F.explode("shared").alias("other")).where("item <> other").groupBy("item", "other").agg(F.sum("s").alias("score"))
+        # All that counts for an item is known where its users are with all their items: no pair of users leaves a task.
+        items = rows.groupBy("u").agg(F.collect_set("i").alias("items"))  # at most max_user_behavior
+        met = kept.join(items, "u").select("i", "u", "w", "items")
+        alpha2 = self.alpha2
+
+        def score(key: tuple, users: pa.Table) -> pa.Table:
+            users = users.sort_by("u")
+            other, value = _item_scores(int(key[0].as_py()), users.column("w").to_numpy(), users.column("items").combine_chunks(), alpha2)
+            return pa.table({"item": pa.array(np.full(len(other), key[0].as_py(), np.int64)), "other": other, "score": value})
+
+        return met.groupBy("i").applyInArrow(score, "item long, other long, score double")
 
     def top(self, df: DataFrame) -> DataFrame:
         """``item, other, score, rank``: the ``k`` best, ties by the smaller item."""
