@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -83,6 +88,72 @@ def per_element(df: DataFrame, v: Column, aggs: dict) -> tuple[int, dict[str, li
     return d, {k: [r[k] for r in rows] for k in aggs}
 
 
+#: Accuracy of the sketch that brackets an order statistic, rows of a bracket that are ranked at once, ranks of one pass.
+SKETCH, FEW_ROWS, AT_ONCE = 10_000, 100_000, 64
+
+
+def order_statistics(df: DataFrame, v: Column, ranks: Callable[[int], list[int]]) -> list[list[float]]:
+    """Exact order statistics of each element, NaN left out; ``ranks`` maps a count of numbers to ranks from 1.
+
+    A small sketch brackets each rank, one pass counts the rows below and inside, and so on until few rows or values are
+    inside.  A sketch that errs costs passes, not the result.  No more than FEW_ROWS values of a rank reach the driver.
+    """
+    there = lambda c: F.when(~F.isnan(c), c)
+    d, s = per_element(df, v, {"n": lambda c: F.count(there(c)), "low": lambda c: F.min(there(c)), "high": lambda c: F.max(there(c))})
+    asked = [ranks(n) if n else [] for n in s["n"]]
+    #: of each (place, rank): least and greatest value it can be, rows below, rows inside
+    known = {(k, r): (s["low"][k] + 0.0, s["high"][k] + 0.0, 0, s["n"][k]) for k in range(d) for r in asked[k]}
+    rows = df.select(v.alias("_v"))
+    x = lambda k: F.get(F.col("_v"), k)
+    inside = lambda key, low, high: (x(key[0]) >= low) & (x(key[0]) <= high)
+    while open_ := [key for key, (low, high, *_) in known.items() if low < high][:AT_ONCE]:
+        aggs, ranked = [], [key for key in open_ if known[key][3] <= FEW_ROWS]
+        if not ranked:
+            for j, key in enumerate(open_):
+                low, high, below, n = known[key]
+                p = (key[1] - below) / n
+                at = F.array(F.lit(max(0.0, p - 2 / SKETCH)), F.lit(min(1.0, p + 2 / SKETCH)))
+                aggs.append(F.percentile_approx(F.when(inside(key, low, high), x(key[0])), at, SKETCH).alias(f"q{j}"))
+            row = rows.agg(*aggs).first()
+            tried = {key: (row[f"q{j}"][0], row[f"q{j}"][1]) for j, key in enumerate(open_)}
+            for key, held in _counted(rows, tried, inside, x).items():
+                if held[2] < key[1] <= held[2] + held[3] and held[3] <= known[key][3] // 2 or held[0] == held[1] and held[2] < key[1] <= held[2] + held[3]:
+                    known[key] = held
+                else:
+                    ranked.append(key)
+        # few rows, or a bracket that does not shrink, as between two values of many rows each
+        cells = F.array_compact(F.array(*[F.when(inside(key, *known[key][:2]), F.struct(F.lit(j).alias("j"), (x(key[0]) + 0.0).alias("x"))) for j, key in enumerate(ranked)])) if ranked else None
+        if ranked:
+            kinds = rows.where(reduce(or_, [inside(key, *known[key][:2]) for key in ranked])).select(F.explode(cells).alias("e")).groupBy("e.j", "e.x").count().persist()
+            few = {r.j for r in kinds.groupBy("j").count().where(F.col("count") <= FEW_ROWS).collect()}
+            got: dict[int, list[tuple[float, int]]] = {}
+            for j, value, n in kinds.where(F.col("j").isin(*few)).collect() if few else []:
+                got.setdefault(j, []).append((value, n))
+            kinds.unpersist()
+            halves = {}
+            for j, key in enumerate(ranked):
+                low, high, below, _ = known[key]
+                if j not in got:  # too many values still: halve
+                    halves[key] = (low, low / 2 + high / 2)
+                    continue
+                for value, n in sorted(got[j]):
+                    below += n
+                    if below >= key[1]:
+                        known[key] = (value, value, below - n, n)
+                        break
+            for key, held in _counted(rows, halves, inside, x).items() if halves else ():
+                low, high, below, n = known[key]
+                upto = held[2] + held[3]
+                known[key] = held if key[1] <= upto else (math.nextafter(held[1], math.inf), high, upto, n - held[3])
+    return [[known[k, r][0] for r in asked[k]] for k in range(d)]
+
+
+def _counted(rows: DataFrame, brackets: dict, inside: Callable, x: Callable) -> dict:
+    """Each bracket with the rows below and inside."""
+    row = rows.agg(*[e for j, (key, (low, high)) in enumerate(brackets.items()) for e in (F.sum((x(key[0]) < low).cast("long")).alias(f"b{j}"), F.sum(inside(key, low, high).cast("long")).alias(f"n{j}"))]).first()
+    return {key: (*brackets[key], row[f"b{j}"], row[f"n{j}"]) for j, key in enumerate(brackets)}
+
+
 def sparse_moments(df: DataFrame, name: str) -> tuple[int, list[tuple[float, float, float, float]]]:
     """Row count, and (sum, sum of squares, least, greatest) of each element of sparse structs, whose zeros are not filled in.
 

@@ -267,7 +267,7 @@ class KBinsDiscretizer(Estimator, HasInputCol, HasOutputCol):
 
     strategy = Param("str", "uniform, quantile or kmeans", "quantile", in_array(("uniform", "quantile", "kmeans")))
     num_bins = Param("int", "bins per element", 5, gt_eq(2))
-    sub_samples = Param("int", "rows that quantile and kmeans look at, at most", 200000, gt_eq(2))
+    sub_samples = Param("int", "rows that kmeans looks at, at most; beyond, quantile ranks all rows on the executors", 200000, gt_eq(2))
 
     def fit(self, df: DataFrame) -> KBinsDiscretizerModel:
         v, bins = V.dense(df, self.input_col), self.num_bins
@@ -278,6 +278,9 @@ class KBinsDiscretizer(Estimator, HasInputCol, HasOutputCol):
         V.dimension(df, v)
         n = df.count()
         rows = df.select(v.alias("v"))
+        if n > self.sub_samples and self.strategy == "quantile":  # the same edges of all rows, found on the executors
+            found = V.order_statistics(df, v, lambda m: [int(k * (m / bins)) + 1 for k in range(bins)] + [1, m])
+            return self.model(KBinsDiscretizerModel(), binEdges=[_edges(x[:bins] + x[-1:]) if x[-2] < x[-1] else [-math.inf, math.inf] for x in found])
         if n > self.sub_samples:  # the documented bound; a seeded draw of about so many rows
             rows = rows.sample(False, min(1.0, 1.1 * self.sub_samples / n), 17).limit(self.sub_samples)
         data = np.array([r.v for r in rows.collect()])
@@ -293,7 +296,10 @@ def _quantile_edges(x: np.ndarray, bins: int) -> list[float]:
     """
     if x[0] == x[-1]:
         return [-math.inf, math.inf]
-    found = [x[int(k * (len(x) / bins))] for k in range(bins)] + [x[-1]] if len(x) > bins else x
+    return _edges([x[int(k * (len(x) / bins))] for k in range(bins)] + [x[-1]] if len(x) > bins else x)
+
+
+def _edges(found: list[float]) -> list[float]:
     kinds, counts = np.unique(found, return_counts=True)
     out: list[float] = []
     for k, (value, n) in enumerate(zip(kinds.tolist(), counts, strict=True)):

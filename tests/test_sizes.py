@@ -71,3 +71,10 @@ def test_online_logistic_regression_in_tasks(spark, monkeypatch):
     from loomwork.streaming.online import OnlineLogisticRegression
 
     _learns_in_tasks(spark, monkeypatch, OnlineLogisticRegression(initial_model=[0.0, 0.0], global_batch_size=300, order_col="id", reg=0.01), "coefficient")
+
+
+def test_quantile_bins_of_all_rows(spark):
+    """Edges of all rows, above the bound of what is ranked at once, too."""
+    df = spark.range(5000).select(F.array(F.round(F.rand(4) * 1000, 1), F.floor(F.rand(5) * 5).cast("double")).alias("input")).persist()
+    edges = [O.KBinsDiscretizer(strategy="quantile", num_bins=4, sub_samples=n).fit(df).need()["binEdges"] for n in (10000, 100)]
+    assert edges[0] == edges[1]
