@@ -109,13 +109,15 @@ def order_statistics(df: DataFrame, v: Column, ranks: Callable[[int], list[int]]
     while open_ := [key for key, (low, high, *_) in known.items() if low < high][:AT_ONCE]:
         aggs, ranked = [], [key for key in open_ if known[key][3] <= FEW_ROWS]
         if not ranked:
-            for j, key in enumerate(open_):
-                low, high, below, n = known[key]
-                p = (key[1] - below) / n
-                at = F.array(F.lit(max(0.0, p - 2 / SKETCH)), F.lit(min(1.0, p + 2 / SKETCH)))
-                aggs.append(F.percentile_approx(F.when(inside(key, low, high), x(key[0])), at, SKETCH).alias(f"q{j}"))
+            # ranks of one bracket, all of an element's at first, share a sketch
+            shared: dict[tuple, list[tuple[int, int]]] = {}
+            for key in open_:
+                shared.setdefault((key[0], known[key]), []).append(key)
+            for j, ((k, (low, high, below, n)), keys) in enumerate(shared.items()):
+                at = [e for key in keys for e in (max(0.0, (key[1] - below) / n - 2 / SKETCH), min(1.0, (key[1] - below) / n + 2 / SKETCH))]
+                aggs.append(F.percentile_approx(F.when(inside((k, 0), low, high), x(k)), F.array(*map(F.lit, at)), SKETCH).alias(f"q{j}"))
             row = rows.agg(*aggs).first()
-            tried = {key: (row[f"q{j}"][0], row[f"q{j}"][1]) for j, key in enumerate(open_)}
+            tried = {key: tuple(row[f"q{j}"][2 * i : 2 * i + 2]) for j, keys in enumerate(shared.values()) for i, key in enumerate(keys)}
             for key, held in _counted(rows, tried, inside, x).items():
                 if held[2] < key[1] <= held[2] + held[3] and held[3] <= known[key][3] // 2 or held[0] == held[1] and held[2] < key[1] <= held[2] + held[3]:
                     known[key] = held

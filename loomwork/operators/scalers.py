@@ -21,6 +21,11 @@ def accuracy(relative_error: float) -> int:
     return min(2**31 - 1, max(1, round(1 / relative_error) if relative_error > 0 else 2**31 - 1))
 
 
+def rank(q: float, n: int) -> int:
+    """The rank, from 1, of a quantile that is an element of ``n``."""
+    return max(1, n - math.floor(n - q * n))
+
+
 class _Scaled(Model, HasInputCol, HasOutputCol):
     """Multiplies and shifts element by element, sparse structs entry by entry where zeros stay zeros."""
 
@@ -140,6 +145,11 @@ class RobustScaler(Estimator, _RobustParams, HasRelativeError):
     def fit(self, df: DataFrame) -> RobustScalerModel:
         if self.lower >= self.upper:
             raise ValueError("the lower quantile must be below the upper one")
+        if self.relative_error < 1 / V.SKETCH:
+            got = V.order_statistics(df, V.dense(df, self.input_col), lambda n: [rank(q, n) for q in (0.5, self.lower, self.upper)])
+            if not all(got):
+                raise ValueError("a feature has no number")
+            return self.model(RobustScalerModel(), medians=[q[0] for q in got], ranges=[q[2] - q[1] for q in got])
         at = F.array(F.lit(0.5), F.lit(self.lower), F.lit(self.upper))
         _, s = V.per_element(df, V.dense(df, self.input_col), {"q": lambda c: F.percentile_approx(F.when(~F.isnan(c), c), at, accuracy(self.relative_error))})
         if any(q is None for q in s["q"]):
@@ -173,6 +183,12 @@ class Imputer(Estimator, _ImputerParams, HasRelativeError):
 
     def fit(self, df: DataFrame) -> ImputerModel:
         names, aggs = self.get("input_cols"), []
+        if self.strategy == "median" and self.relative_error < 1 / V.SKETCH:
+            cols = [F.when(~self._missing(F.col(c)), F.col(c).cast("double")) for c in names]
+            got = V.order_statistics(df, F.array(*cols), lambda n: [rank(0.5, n)])
+            if not all(got):
+                raise ValueError(f"no value to impute from in {[c for c, x in zip(names, got, strict=True) if not x]}")
+            return self.model(ImputerModel(), surrogates=dict(zip(names, (x[0] for x in got), strict=True)))
         for c in names:
             x = F.col(c).cast("double")
             there = F.when(~self._missing(F.col(c)) & ~F.isnan(x), x)

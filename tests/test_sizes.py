@@ -78,3 +78,19 @@ def test_quantile_bins_of_all_rows(spark):
     df = spark.range(5000).select(F.array(F.round(F.rand(4) * 1000, 1), F.floor(F.rand(5) * 5).cast("double")).alias("input")).persist()
     edges = [O.KBinsDiscretizer(strategy="quantile", num_bins=4, sub_samples=n).fit(df).need()["binEdges"] for n in (10000, 100)]
     assert edges[0] == edges[1]
+
+
+def test_exact_quantiles_from_small_sketches(spark, monkeypatch):
+    """A tiny relative error asks for no huge sketch; the quantiles are those of the sorted values."""
+    from loomwork.core import vectors as V
+
+    approx = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda c, p, accuracy=10000: approx(c, p, accuracy) if accuracy <= 10000 else 1 / 0)
+    df = spark.range(3001).select(F.array(F.randn(1), F.floor(F.rand(2) * 3).cast("double")).alias("input"), F.randn(4).alias("a")).persist()
+    for few in (V.FEW_ROWS, 40):
+        monkeypatch.setattr(V, "FEW_ROWS", few)
+        made = O.RobustScaler(relative_error=1e-7).fit(df).need()
+        x = np.sort(np.array([r.input for r in df.collect()]), axis=0)
+        assert made["medians"] == x[1500].tolist() and made["ranges"] == (x[2250] - x[750]).tolist()
+        got = O.Imputer(input_cols=["a"], output_cols=["b"], strategy="median", relative_error=1e-7).fit(df).need()["surrogates"]["a"]
+        assert got == sorted(r.a for r in df.collect())[1500]
