@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -101,6 +103,9 @@ class HashingTF(Transformer, HasInputCol, HasOutputCol, HasNumFeatures):
 
         @F.arrow_udf(SPARSE)
         def hashed(docs: pa.Array) -> pa.Array:
+            return joined([piece(part) for part in slices(docs)])
+
+        def piece(docs: pa.Array) -> pa.Array:
             docs = docs.cast(pa.list_(docs.type.value_type))
             terms = docs.flatten().dictionary_encode()  # each distinct term of the batch is hashed once
             held = term_hashes(terms.dictionary.to_pylist(), width) if len(terms) else np.zeros(0, np.int64)
@@ -111,6 +116,24 @@ class HashingTF(Transformer, HasInputCol, HasOutputCol, HasNumFeatures):
         return df.withColumn(self.output_col, F.when(F.col(self.input_col).isNotNull(), hashed(F.col(self.input_col))))
 
 
+_TOKENS = 200_000  # tokens that are counted at once, unless one row has more
+
+
+def slices(docs: pa.Array) -> Iterator[pa.Array]:
+    """The lists in order, cut where their elements would be more than _TOKENS; the memory of counting is that of a piece."""
+    ends = np.cumsum(pc.list_value_length(docs).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(docs):
+        below = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, below + _TOKENS, side="right")))
+        yield docs.slice(at, end - at)
+        at = end
+
+
+def joined(parts: list[pa.Array]) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))]))
+
+
 def counted(docs: pa.Array, index: np.ndarray, size: int, binary: bool, least: np.ndarray | None = None) -> pa.Array:
     """Sparse counts per row of the ``index`` of every element of the lists, end to end; negative ones are left out.
 

@@ -94,3 +94,15 @@ def test_exact_quantiles_from_small_sketches(spark, monkeypatch):
         assert made["medians"] == x[1500].tolist() and made["ranges"] == (x[2250] - x[750]).tolist()
         got = O.Imputer(input_cols=["a"], output_cols=["b"], strategy="median", relative_error=1e-7).fit(df).need()["surrogates"]["a"]
         assert got == sorted(r.a for r in df.collect())[1500]
+
+
+def test_counting_in_pieces(monkeypatch):
+    """Lists are counted piece by piece of bounded length; together they are the whole batch."""
+    import pyarrow as pa
+    from loomwork.operators import text as X
+
+    docs = pa.array([["a"] * 3, [], None, ["b"] * 9, ["c", "d"], ["e"]], pa.list_(pa.string()))
+    monkeypatch.setattr(X, "_TOKENS", 4)
+    parts = list(X.slices(docs))
+    assert pa.concat_arrays(parts).equals(docs) and [len(p) for p in parts] == [3, 1, 2]
+    assert len(X.joined([])) == 0
