@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..core import vectors as V
 from ..core.params import HasHandleInvalid, HasInputCol, HasInputCols, HasOutputCol, HasOutputCols, Param, gt, gt_eq, in_array
 from ..core.stage import Estimator, Model
-from .text import counted
+from .text import counted, joined, slices
 
 #: Up to so many categories a lookup is a literal map; beyond, it is a join with the model's table.
 LITERAL = 2000
@@ -217,6 +217,9 @@ class CountVectorizerModel(Model, _CountParams):
 
         @F.arrow_udf("struct<size int, indices array<int>, values array<double>>")
         def counts(docs: pa.Array) -> pa.Array:
+            return joined([piece(part) for part in slices(docs)])
+
+        def piece(docs: pa.Array) -> pa.Array:
             docs = docs.cast(pa.list_(pa.string()))
             at = pc.index_in(docs.flatten(), value_set=pa.array(held.value, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
             least = np.full(len(docs), min_tf) if min_tf >= 1 else pc.list_value_length(docs).fill_null(0).to_numpy(zero_copy_only=False) * min_tf
