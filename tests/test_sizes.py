@@ -106,3 +106,21 @@ def test_counting_in_pieces(monkeypatch):
     parts = list(X.slices(docs))
     assert pa.concat_arrays(parts).equals(docs) and [len(p) for p in parts] == [3, 1, 2]
     assert len(X.joined([])) == 0
+
+
+def test_swing_of_one_item():
+    """Common, middling and rare items of the users of one item give the sums over all pairs."""
+    import pyarrow as pa
+    from loomwork.operators.recommendation import _item_scores
+
+    rng = np.random.default_rng(0)
+    for users, few, kinds in ((30, 6, 12), (90, 20, 90)):
+        items = [np.unique(np.append(rng.choice(kinds, few, replace=False), 7)) for _ in range(users)]
+        w, slow = rng.random(users) + 0.1, {}
+        got = dict(zip(*map(np.ndarray.tolist, _item_scores(7, w, pa.array([x.tolist() for x in items], pa.list_(pa.int64())), 1)), strict=True))
+        for a in range(users):
+            for b in range(a + 1, users):
+                both = set(items[a].tolist()) & set(items[b].tolist())
+                for j in both - {7}:
+                    slow[j] = slow.get(j, 0) + w[a] * w[b] / (1 + len(both))
+        assert got.keys() == slow.keys() and all(abs(got[j] - slow[j]) < 1e-9 for j in slow)
